@@ -428,7 +428,7 @@ def _cut(with_bytes: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, with_bytes: bool = False, group_bytes: int = 8 << 20, most: int = 4_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_bytes: bool = False, group_bytes: int = 4 << 20, most: int = 4_000_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked, kept (the bytes left) of every document.
 
     group_bytes is the text in one group of documents on average; most, the hashes that a task holds at once.
@@ -440,7 +440,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False, group_bytes: int =
     light = rows.select("doc_id", "tag", F.sha2("raw", 256).alias("same"), F.octet_length("raw").cast("long").alias("n_bytes"))
     light = materialize(light, "texts")
     total = light.agg(F.sum("n_bytes")).first()[0] or 0
-    groups = max(4 * n, -(-total // group_bytes))
+    groups = max(64, -(-total // group_bytes))
     home = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("bin")
     twins = light.where(f"doc_id is not null and n_bytes >= {DEPTH}").groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     light = light.join(twins.where("first < last").select("same", "first"), "same", "left")
