@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import materialize
@@ -129,8 +129,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = 75) -> DataFram
                     [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"]
                 )
 
-    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    # Pairs and their documents grow with the input: they are shuffled, never broadcast.
+    with_a = pairs.hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
+    both = with_a.hint("merge").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -164,9 +165,11 @@ def near_duplicates(docs: DataFrame, rows: int = 2, tables: int = 10, percent: i
     first, second = F.slice("bands", 1, tables), F.slice("bands", tables + 1, tables)
     keys = F.flatten(F.transform(first, lambda x: F.transform(second, lambda y: F.xxhash64(x, y))))
     banded = classes.select("rep", "n", F.explode(keys).alias("key"))
-    starred = banded.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center < last")
-    # Members of the buckets that hold more than one class.
-    shared = materialize(banded.join(starred.select("key", "center"), "key"), "buckets")
+    # Members of the buckets that hold more than one class. A class is in tables² buckets: none has more than
+    # that part of all rows, and the window streams over it.
+    bucket = Window.partitionBy("key")
+    starred = banded.select("key", "rep", "n", F.min("rep").over(bucket).alias("center"), F.count("*").over(bucket).alias("size"))
+    shared = materialize(starred.where("size > 1").drop("size"), "buckets")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sizes = classes.select("rep", "n")
 
@@ -211,7 +214,7 @@ def near_duplicates(docs: DataFrame, rows: int = 2, tables: int = 10, percent: i
 def _needed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """One text for each document in pairs."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return texts.join(ids, "doc_id", "left_semi")
+    return texts.hint("merge").join(ids, "doc_id", "left_semi")
 
 
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
