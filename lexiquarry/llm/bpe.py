@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -25,8 +26,8 @@ WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
 
 #: The byte-level pre-tokenizer's pattern, a fixed value of the format.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Fragments of ASCII and of two-byte characters from U+00C0 to U+024F.
-_COMMON = re.compile(rb"(?:[\x00-\x1b\x20-\x7f]|\xc3[\x80-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])*").fullmatch
+#: Bytes of anything but ASCII without the separators 28 to 31, and characters from U+00C0 to U+023F.
+_UNCOMMON = re.compile(rb"[\x1c-\x1f\xc0-\xc2\xc9-\xff]").search
 
 
 def default_vocabulary() -> str:
@@ -119,32 +120,35 @@ class ForcedBoundaryBPE:
         at = [0, *(np.flatnonzero(cut) + 1).tolist(), len(raw)]
         return [raw[i:j] for i, j in zip(at, at[1:])]
 
-    def _learn(self, fragments: list[bytes]) -> None:
+    def _learn(self, fragments: Iterable[bytes]) -> None:
         """Have the memo hold the ids of all these fragments, as little-endian unsigned 32-bit integers."""
         memo = self._memo
-        missing = [f for f in dict.fromkeys(fragments) if f not in memo]
-        if missing:
-            if len(memo) + len(missing) > self._most:
-                memo.clear()
-                missing = list(dict.fromkeys(fragments))
-            common = [f for f in missing if f[0] in SPACES and f[-1] not in SPACES and _COMMON(f)] if self._fast else []
+        distinct = set(fragments)
+        missing = list(distinct.difference(memo))
+        if len(memo) + len(missing) > self._most:
+            memo.clear()
+            missing = list(distinct)
+        rest = missing
+        if self._fast:
+            common = [f for f in missing if f[0] < 33 and f[-1] > 32]  # led by white space, but not ending in it
+            if _UNCOMMON(b"".join(common)):
+                common = [f for f in common if not _UNCOMMON(f)]
             for lo in range(0, len(common), 50_000):
                 self._encode_common(common[lo : lo + 50_000])
-            rest = [f for f in missing if f not in memo] if common else missing
-            for lo in range(0, len(rest), 50_000):
-                part = rest[lo : lo + 50_000]
-                for f, e in zip(part, self._library.encode_batch_fast([f.decode() for f in part], add_special_tokens=False)):
-                    memo[f] = np.array(e.ids, "<u4").tobytes()
+            rest = [f for f in missing if f not in memo]
+        for lo in range(0, len(rest), 50_000):
+            part = rest[lo : lo + 50_000]
+            for f, e in zip(part, self._library.encode_batch_fast([f.decode() for f in part], add_special_tokens=False)):
+                memo[f] = np.array(e.ids, "<u4").tobytes()
 
     def _encode_common(self, fragments: list[bytes]) -> None:
         """Memoize fragments of letters on which all libraries agree, in one call. Each begins with white space
         and ends without, so that their seams are forced boundaries too, and token lengths tell them apart."""
         ids = self._fast.encode_to_numpy(b"".join(fragments).decode(), disallowed_special=()).astype("<u4")
         ends = np.searchsorted(np.cumsum(self._length[ids]), np.cumsum([len(f) for f in fragments])) + 1
-        raw, last = ids.tobytes(), 0
-        for f, end in zip(fragments, (4 * ends).tolist()):
-            self._memo[f] = raw[last:end]
-            last = end
+        raw = ids.tobytes()
+        ends = (4 * ends).tolist()
+        self._memo.update(zip(fragments, [raw[a:z] for a, z in zip([0, *ends], ends)]))
 
     def encode(self, text: str | None) -> bytes:
         """The ids of text as little-endian unsigned 32-bit integers."""
@@ -152,16 +156,22 @@ class ForcedBoundaryBPE:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """encode() of each; new fragments of all of them are encoded together."""
-        cut: list[list[bytes]] = []
-        for text in texts:
-            parts = self._split.split(text) if text and self._split and self._split.search(text) else [text] if text else []
-            cut.append([f for k, p in enumerate(parts) for f in (self.fragments(p) if k % 2 == 0 else [p])])
-        fragments = [f for c in cut for f in c if type(f) is bytes]
-        self._learn(fragments)
-        known, added = self._memo, self._added
-        if len(fragments) < sum(map(len, cut)):
-            return [b"".join(known[f] if type(f) is bytes else added[f] for f in c) for c in cut]
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        cut, mixed = [], []
+        for k, text in enumerate(texts):
+            if not text:
+                cut.append([])
+            elif self._split and self._split.search(text):
+                mixed.append(k)
+                cut.append([f for i, p in enumerate(self._split.split(text)) if i % 2 == 0 for f in self.fragments(p)])
+            else:
+                cut.append(self.fragments(text))
+        self._learn(chain.from_iterable(cut))
+        known = self._memo.__getitem__
+        out = [b"".join(map(known, c)) for c in cut]
+        for k in mixed:
+            parts = enumerate(self._split.split(texts[k]))
+            out[k] = b"".join(self._added[p] if i % 2 else b"".join(map(known, self.fragments(p))) for i, p in parts)
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD."""
