@@ -31,8 +31,8 @@ CONTACT = r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+\.[a-z]+"
 def topic_of(text: Column, tokens: Column) -> Column:
     """A document's topic by its form."""
     return (
-        F.when(text.rlike(LEGAL), "legal")
-        .when(text.rlike(CONTACT), "contact")
+        F.when(text.rlike("(?=[lcwLCW])" + LEGAL), "legal")  # looked at only from letters that it can begin with
+        .when(F.contains(text, F.lit("@")) & text.rlike(CONTACT), "contact")
         .when(tokens < 120, "note")
         .when(tokens > 1500, "longform")
         .otherwise("article")
@@ -104,9 +104,15 @@ def with_probability(
     rounds: int = 12,
     keep: float = 0.8,
     broadcast_cells: int = 50_000,
+    with_rows: bool = True,
 ) -> DataFrame:
-    """with_cells() and `probability`. Up to broadcast_cells cells go to every task; more are joined by shuffle."""
+    """with_cells() and `probability`. Up to broadcast_cells cells go to every task; more are joined by shuffle.
+
+    Without rows, only doc_id is kept of them, and texts are read once.
+    """
     rows = with_cells(docs)
+    if not with_rows:
+        rows = materialize(rows.select(F.struct("row.doc_id").alias("row"), *DIMENSIONS, "tokens", "draw"), "placed")
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     weights = raked(cells, targets, temper, rounds)
     f = factor(weights, keep)
@@ -118,7 +124,7 @@ def with_probability(
 
 def sample_report(docs: DataFrame, **parameters) -> DataFrame:
     """doc_id, cell, tokens and probability of the sampled documents."""
-    drawn = with_probability(docs, **parameters).where("draw < probability and tokens > 0")
+    drawn = with_probability(docs, with_rows=False, **parameters).where("draw < probability and tokens > 0")
     return drawn.select(F.col("row.doc_id").alias("doc_id"), *DIMENSIONS, "tokens", F.round("probability", 6).alias("probability"))
 
 
