@@ -212,9 +212,10 @@ def near_duplicates(docs: DataFrame, rows: int = 2, tables: int = 10, percent: i
 
 
 def _needed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One text for each document in pairs."""
+    """The texts of the documents in pairs, as a table: a join of two shuffled tables can be split where a first
+    document of many pairs makes it uneven."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return texts.hint("merge").join(ids, "doc_id", "left_semi")
+    return materialize(texts.hint("merge").join(ids, "doc_id", "left_semi"), "needed")
 
 
 def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
