@@ -443,7 +443,9 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False, group_bytes: int =
     groups = max(64, -(-total // group_bytes))
     home = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("bin")
     twins = light.where(f"doc_id is not null and n_bytes >= {DEPTH}").groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    light = light.join(twins.where("first < last").select("same", "first"), "same", "left")
+    # As a table, so that the join of its two shuffled sides can be split at a text of many copies.
+    twins = materialize(twins.where("first < last").select("same", "first"), "twins")
+    light = light.join(twins, "same", "left")
     light = light.withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)))
     copies = light.where("copy").select(home, F.lit(None).cast("binary").alias("load"), "doc_id", "tag").distinct()
     dealt = rows.where(f"doc_id is not null and octet_length(raw) >= {DEPTH}").select(home, "doc_id", "tag", "raw").repartition(n, "bin")
