@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -68,7 +69,7 @@ class Node:
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Elements, with digests of their subtrees, and blocks of text as (element, text)."""
     nodes = [Node("", -1, False, False)]
-    open_nodes, blocks, run = [0], [], []
+    open_nodes, open_tags, blocks, run = [0], Counter(), [], []
 
     def end_block() -> None:
         if run:
@@ -81,6 +82,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     def close() -> None:
         node = nodes[open_nodes.pop()]
+        open_tags[node.tag] -= 1
         if node.parts:
             node.digest = xxhash.xxh3_64_intdigest(f"{node.tag}\x00" + "\x01".join(node.parts)) - 2**63
             nodes[node.parent].parts.append(f"\x02{node.digest}")
@@ -97,7 +99,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if m[1]:
             if tag in BLOCKS:
                 end_block()
-                if tag in [nodes[k].tag for k in open_nodes]:
+                if open_tags[tag]:
                     while nodes[open_nodes[-1]].tag != tag:
                         close()
                     close()
@@ -121,6 +123,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     dropped = False
                 nodes.append(Node(tag, open_nodes[-1], dropped, over.inside or tag in ROOTS))
                 open_nodes.append(len(nodes) - 1)
+                open_tags[tag] += 1
     if at < n:
         run.append(page[at:])
     end_block()

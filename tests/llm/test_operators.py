@@ -391,6 +391,8 @@ def test_html(spark):
         assert got[90, "Alone\nPrint this", 16] == 1 and got[91, "", 0] == 1 and got[92, "", 0] == 2
     assert html_templates.extract(table.limit(0)).count() == 0
     assert html_templates.main_text("<p>a<script>" + "<" * 10_000) == "a"
+    deep = 40_000
+    assert html_templates.main_text("<div>" * deep + "in</p></div> out" + "</div>" * deep) == "in\nout"
 
 
 def test_mixing(spark):
