@@ -7,10 +7,11 @@ key: 2 * rows * tables minhashes serve tables² tables. At rows = 2 and tables =
 meets in one of the 100 tables with probability 1 - 0.0005, one of 0.8 with 1 - 0.00007.
 
 Texts with equal sets are one class; only a class's first document is banded. In each table, members of a
-bucket are paired with the bucket's first (a star, never all pairs) and each pair is confirmed on the full
-sets. Where a bucket still spans several components, one member of each - another one in every table - is
-paired across them, until no such pair is confirmed any more. Components come from rounds of large-star and
-small-star steps on tables in the shared folder.
+bucket are paired with the bucket's first (a star) and each pair is confirmed on the full sets. Where a bucket
+still spans several components, one member of each - another one in every table - is paired across them.
+These few rounds only join most components cheaply: in the end every pair that shares a bucket and is still in
+two components is decided, so that no two documents of a bucket are left apart untested. Components come from
+rounds of large-star and small-star steps on tables in the shared folder.
 
 Defined results: words are split at ASCII white space, A to Z lower-cased. A text of one to four words has
 its whole sequence as its only shingle; a null, empty or blank text has none and is linked with nothing. A
@@ -30,6 +31,10 @@ from pyspark.sql import functions as F
 from ._store import materialize
 
 WORDS = 5
+#: Members of a bucket that meet in one task when all pairs of the bucket are made.
+BLOCK = 256
+#: Rounds of stand-ins before that: they spare pairs, no result depends on them.
+ROUNDS = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -157,6 +162,24 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("component"))
 
 
+def across(member: DataFrame, block: int = BLOCK) -> DataFrame:
+    """All pairs (a, b, n, m) of a bucket's members (key, rep, n, component) that are in different components.
+
+    A bucket is dealt into parts of about `block` members by a hash, and any two parts meet apart from the others,
+    so that a hot bucket is spread over as many tasks as it has pairs for.
+    """
+    spans = member.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / block).cast("int").alias("parts")
+    )
+    dealt = member.join(spans.where("lo < hi").select("key", "parts"), "key").withColumn(
+        "part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    )
+    left = dealt.select("key", F.col("part").alias("p"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("q"), F.struct("rep", "n", "component").alias("x"))
+    right = dealt.select("key", F.explode(F.sequence(F.lit(0), "part")).alias("p"), F.col("part").alias("q"), F.struct("rep", "n", "component").alias("y"))
+    met = left.join(right, ["key", "p", "q"]).where("x.component <> y.component and (p < q or x.rep < y.rep)")
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+
+
 def near_duplicates(docs: DataFrame, rows: int = 2, tables: int = 10, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     signed = materialize(signatures(docs, rows, tables), "signatures")
@@ -181,27 +204,33 @@ def near_duplicates(docs: DataFrame, rows: int = 2, tables: int = 10, percent: i
     star = star.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("m")), "a")
     tried = materialize(likely(star), "pairs")
     edges = materialize(confirmed(tried, _needed(texts, tried), percent), "links")
-    while True:
-        reached = components(edges)
-        member = shared.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(
+
+    def members(reached: DataFrame) -> DataFrame:
+        return shared.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(
             "key", "rep", "n", F.coalesce("component", "rep").alias("component")
         )
+
+    for _ in range(ROUNDS):
+        member = members(components(edges))
         open_keys = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         # In each open bucket, one member stands for a component: which one, differs from table to table.
         by_chance = F.struct(F.xxhash64("key", "rep").alias("chance"), "rep", "n")
         stands = member.join(open_keys.select("key"), "key").groupBy("key", "component").agg(F.min(by_chance).alias("s"))
         center = stands.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "component"), "component", "s")).alias("c"))
-        across = stands.join(center, "key").where("component <> c.component")
+        stars = stands.join(center, "key").where("component <> c.component")
         pairs = likely(
-            across.select(
+            stars.select(
                 F.least("s.rep", "c.s.rep").alias("a"), F.greatest("s.rep", "c.s.rep").alias("b"), F.col("s.n").alias("n"), F.col("c.s.n").alias("m")
             )
         )
         fresh = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = materialize(confirmed(fresh, _needed(texts, fresh), percent), "links")
+        tried, edges = tried.union(fresh), edges.union(found)
         if found.isEmpty():
             break
-        tried, edges = tried.union(fresh), edges.union(found)
+    # All other pairs across components are decided, each once.
+    rest = materialize(likely(across(members(components(edges)))).join(tried, ["a", "b"], "left_anti"), "pairs")
+    reached = components(edges.union(materialize(confirmed(rest, _needed(texts, rest), percent), "links")))
     reached = reached.withColumnRenamed("node", "rep")
     of_class = classes.join(reached, "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "same").join(of_class, "same", "left")

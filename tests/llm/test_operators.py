@@ -188,6 +188,34 @@ def test_near_dedup_on_a_table(spark):
     assert {r.doc_id: r.component_id for r in got} == {d: find(d) for d in size}
 
 
+def hub(n: int, seed: int = 3) -> list[tuple[int, str]]:
+    """An original with the largest doc_id and n copies of it, each like the original but not like one another."""
+    r = random.Random(seed)
+    words = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for k in range(n):
+        copy = list(words)
+        for place in r.sample(range(7, 290, 7), 8):
+            copy[place] = f"c{k}x{place}"
+        rows.append((k, " ".join(copy)))
+    return [*rows, (10**6, " ".join(words))]
+
+
+def test_near_dedup_hub(spark):
+    rows = hub(300)
+    want = {d: c for d, (_, c) in near_model(rows).items()}
+    assert set(want.values()) == {0} and len(set(d for _, d in near_model(rows[:-1]).values())) == 300
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_near_dedup_all_pairs_of_a_bucket(spark):
+    rows = [(k, d, 5, d // 7) for k in (1, 2) for d in range(k * 40)] + [(3, 0, 5, 0), (3, 1, 5, 0)]
+    got = near_dedup.across(spark.createDataFrame(rows, "key int, rep long, n int, component long"), 8).collect()
+    want = [(a, b) for k in (1, 2) for a in range(k * 40) for b in range(a + 1, k * 40) if a // 7 != b // 7]
+    assert sorted((r.a, r.b) for r in got) == sorted(want)
+
+
 def suffix_model(rows):
     first: dict[bytes, int] = {}
     for d, t in rows:
