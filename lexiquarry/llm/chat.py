@@ -6,8 +6,10 @@ end mark.
 
     <|im_start|>system\\n...<|im_end|>\\n<|im_start|>user name=NAME\\n...<|im_end|>\\n<|im_start|>assistant\\n...<|im_end|>\\n
 
-Everything is DataFrame expressions over one grouping. Turns are grouped by (conv_id, turn div 512), so that a
-dialogue of any length is rendered in parts of bounded size; a part is rendered for those who speak in it.
+Everything is DataFrame expressions. `dialogues` takes the participants of the whole dialogue and renders every
+part for each of them; a part is 512 turns by position, and a speaker's parts in order make up the whole rendering
+(masks count from the part's start; who is silent in a part has an empty mask there). `perspectives` groups by
+(conv_id, turn div 512) alone and renders a part only for those who speak in it.
 
 Defined results: a null role speaks as "unknown", a null text is empty, null turns form a part of their own
 (-1). Turns with equal numbers are ordered by role, then text; repeated equal rows count once. A null conv_id
@@ -17,7 +19,7 @@ give empty results; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exprs import let, starts
@@ -42,7 +44,35 @@ def perspectives(turns: DataFrame, part: int = PART) -> DataFrame:
     )
     grouped = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_set("t")).alias("ts"))
     roles = F.array_distinct(F.filter(F.transform("ts", lambda t: t["role"]), lambda r: r != "system"))
-    seen = grouped.select("conv_id", "part", "ts", F.explode(roles).alias("speaker"))
+    return _rendered(grouped.select("conv_id", "part", "ts", F.explode(roles).alias("speaker")))
+
+
+def dialogues(turns: DataFrame, part: int = PART) -> DataFrame:
+    """As perspectives, with every part of a dialogue for all who speak anywhere in it, cut by position.
+
+    Positions come from counts by range of turn numbers and the order within a range, so that a long dialogue is
+    not ordered in one task.
+    """
+    rows = turns.select(
+        "conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    ).distinct()
+    rows = rows.withColumn("range", F.floor(F.col("turn") / part).cast("long"))
+    counts = rows.where("range is not null").groupBy("conv_id", "range").agg(F.count("*").alias("size"))
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(
+        F.col("conv_id").alias("c"), F.col("range").alias("r"), F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before")
+    )
+    within = F.row_number().over(Window.partitionBy("conv_id", "range").orderBy("turn", "role", "text")) - 1
+    placed = rows.withColumn("within", within).join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r")), "left")
+    number = F.floor((F.col("before") + F.col("within")) / part).cast("long")
+    grouped = placed.groupBy("conv_id", F.coalesce(number, F.lit(-1).cast("long")).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("ts")
+    )
+    speakers = rows.where("role <> 'system'").select(F.col("conv_id").alias("c"), F.col("role").alias("speaker")).distinct()
+    return _rendered(grouped.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))))
+
+
+def _rendered(seen: DataFrame) -> DataFrame:
     pieces = F.transform(
         "ts",
         lambda t: F.struct(

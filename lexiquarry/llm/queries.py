@@ -47,7 +47,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.perspectives(_table(spark, sf_dir, "conversations"))
+    return chat.dialogues(_table(spark, sf_dir, "conversations"))
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

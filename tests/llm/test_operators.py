@@ -452,6 +452,23 @@ def test_chat(spark):
     assert got[1, 0, "ann"].n_turns == 4 and chat.perspectives(table.limit(0)).count() == 0
 
 
+def test_chat_whole_dialogues(spark):
+    """Parts in order make up the rendering of all turns, for everyone who speaks in the dialogue."""
+    long = [(1, k, "system" if k == 0 else "ab"[k > 600], f"t{k}") for k in range(1100)]
+    rows = [*long, (2, 500, "a", "p"), (2, 520, "b", "q"), (3, 10**12, "a", "p"), (3, 2 * 10**12, "b", "q"), (None, 0, "a", "p"), (None, 900, "b", "q")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = defaultdict(list)
+    for r in sorted(chat.dialogues(table).collect(), key=lambda r: r.part):
+        got[r.conv_id, r.speaker].append(r)
+        own = [r.rendered[int(a) : int(z)] for a, z in (s.split(":") for s in r.mask.split(",") if s)]
+        assert sum(map(len, own)) == r.n_masked and len(r.rendered) == r.n_chars
+    assert {k: [r.part for r in v] for k, v in got.items()} == {(c, s): [0, 1, 2] if c == 1 else [0] for c in (1, 2, 3, None) for s in "ab"}
+    for (conv, speaker), parts in got.items():
+        name = lambda r: "system" if r == "system" else "assistant" if r == speaker else f"user name={r}"  # noqa: B023, E731
+        want = "".join(f"<|im_start|>{name(r)}\n{t}<|im_end|>\n" for c, _, r, t in rows if c == conv)
+        assert "".join(r.rendered for r in parts) == want and sum(r.n_turns for r in parts) == sum(c == conv for c, *_ in rows)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
