@@ -469,6 +469,14 @@ def test_chat_whole_dialogues(spark):
         assert "".join(r.rendered for r in parts) == want and sum(r.n_turns for r in parts) == sum(c == conv for c, *_ in rows)
 
 
+def test_pipeline_stage_on_a_hub(spark):
+    import corpus_pipeline
+
+    rows = [(d, t, "en", "s", len(t)) for d, t in hub(300)]
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, DOCS), "")
+    assert [r.doc_id for r in kept.collect()] == [0]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
