@@ -28,10 +28,11 @@ def _terms(q):
     return [(out, k, t.text, t.n, usable(t)) for out, terms in ((False, include), (True, exclude)) for k, t in enumerate(terms)]
 
 
-def search_many(catalog: Catalog, requests: DataFrame, size: int = 20) -> DataFrame:
+def search_many(catalog: Catalog, requests: DataFrame, size: int = 20, exclude_only: bool = True) -> DataFrame:
     """(request_id, rank, id, score): the first `size` by relevance for each row (request_id, q) of requests.
 
-    Requests without terms to include have no result here. Postings are joined by gram, counted by request,
+    Requests with terms to exclude only get all other documents, largest ids first, as in search(); without
+    `exclude_only` they have no result. Requests without terms have none. Postings are joined by gram, counted by request,
     term and document, and ranked within each request; nothing is gathered on the driver.
     """
     terms = requests.select("request_id", F.explode(_terms("q")).alias("t")).select("request_id", "t.*")
@@ -59,5 +60,9 @@ def search_many(catalog: Catalog, requests: DataFrame, size: int = 20) -> DataFr
 
     score = F.aggregate("terms", base, boosted).cast("float").cast("double")
     ranked = rows.select("request_id", "id", score.alias("score"))
+    if exclude_only:
+        only = terms.groupBy("request_id").agg(F.min("exclude").alias("only")).where("only").select("request_id")
+        rest = only.crossJoin(catalog.docs.select("id")).join(gone, ["request_id", "id"], "left_anti")
+        ranked = ranked.unionByName(rest.withColumn("score", F.lit(0.0)))
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), F.desc("id")))
     return ranked.withColumn("rank", rank.cast("long")).where(F.col("rank") <= size).select("request_id", "rank", "id", "score")

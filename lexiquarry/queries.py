@@ -425,7 +425,8 @@ def _many_sql() -> str:
 @_query("batch_search", _many_sql())
 def batch_search(spark, sf_dir):
     requests = spark.createDataFrame(list(_MANY.items()), "request_id long, q string")
-    return batch.search_many(_part_catalog(spark, sf_dir), requests)
+    # _many_sql has no rows for requests with terms to exclude only.
+    return batch.search_many(_part_catalog(spark, sf_dir), requests, exclude_only=False)
 
 
 # --- ingest ----------------------------------------------------------------------------------------------
