@@ -209,11 +209,48 @@ def test_near_dedup_hub(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
-def test_near_dedup_all_pairs_of_a_bucket(spark):
-    rows = [(k, d, 5, d // 7) for k in (1, 2) for d in range(k * 40)] + [(3, 0, 5, 0), (3, 1, 5, 0)]
-    got = near_dedup.across(spark.createDataFrame(rows, "key int, rep long, n int, component long"), 8).collect()
-    want = [(a, b) for k in (1, 2) for a in range(k * 40) for b in range(a + 1, k * 40) if a // 7 != b // 7]
-    assert sorted((r.a, r.b) for r in got) == sorted(want)
+def crowd(n: int, pairs: int, seed: int = 1) -> list[tuple[int, str]]:
+    """n texts that share a passage of 64 words and are 0.60 similar by it; the first 2 * pairs are 0.758 similar by twos."""
+    r = random.Random(seed)
+    word = lambda: f"u{r.randrange(10**9)}"
+    shared, rows, own = [word() for _ in range(64)], [], []
+    for k in range(n):
+        own = own[:9] + [word() for _ in range(11)] if k < 2 * pairs and k % 2 else [word() for _ in range(20)]
+        rows.append((k, " ".join(shared + own)))
+    return rows
+
+
+def test_near_dedup_crowd(spark):
+    rows = crowd(3000, 1200)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k - k % 2 if k < 2400 else k for k in range(3000)}
+
+
+def test_near_dedup_meetings(spark):
+    """No pair of similar sets in different components is left out, whatever the blocks."""
+    r = random.Random(7)
+    sets = []
+    for k in range(120):
+        base = set(range(r.randint(0, 3), 40)) if r.random() < 0.7 else set(range(40, 45 + k % 9))
+        sets.append((k, k % 50, sorted((base - set(r.sample(range(50), 6))) | {1000 + 10 * k + j for j in range(r.randint(0, 4))})))
+    table = spark.createDataFrame(sets, "rep long, component long, shingles array<long>")
+    begun = near_dedup.prefixes(table)
+    got = {(x.a, x.b) for x in near_dedup.meetings(begun, block=8).collect()}
+    assert got == {(x.a, x.b) for x in near_dedup.meetings(begun).collect()}
+    want = {(a, b) for a, c, x in sets for b, d, y in sets if a < b and c != d and 100 * len(set(x) & set(y)) >= 75 * len(set(x) | set(y))}
+    assert want <= got and len(want) > 100 and all(a < b and a % 50 != b % 50 for a, b in got)
+    found = near_dedup.confirmed(spark.createDataFrame(sorted(got), "a long, b long"), table.withColumnRenamed("rep", "doc_id"))
+    assert {(x.a, x.b) for x in found.collect()} == want
+
+
+def test_near_dedup_repeated_ids(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(20))
+    rows = [(5, text(0)), (5, text(1)), (9, text(1)), (3, text(2)), (5, text(2)), (7, text(3)), (7, text(3)), (None, text(3)), (None, text(3)), (8, None), (8, "")]
+    table = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_shingles int")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(table).collect())
+    assert got == {(5, 16, 3, False): 3, (9, 16, 3, False): 1, (3, 16, 3, True): 1, (7, 16, 7, True): 2, (None, 16, None, True): 2, (8, 0, 8, True): 2}
+    kept = Counter((r.doc_id, r.text) for r in near_dedup.one_of_each(table).collect())
+    assert kept == {(3, text(2)): 1, (7, text(3)): 1, (None, text(3)): 2, (8, ""): 1}
 
 
 def suffix_model(rows):
