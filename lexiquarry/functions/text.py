@@ -40,11 +40,12 @@ def norm_each(texts: Column, ascii_only: bool = False) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    """All two-character substrings, in order."""
+    """All two-character substrings, in order. Characters are split once: substrings by place would each be looked
+    for from the text's beginning."""
+    chars = F.split(text, "")
     n = F.length(text)
-    return F.when(
-        n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, 2))
-    ).otherwise(F.array().cast("array<string>"))
+    pairs = F.zip_with(F.slice(chars, 1, n - 1), F.slice(chars, 2, n - 1), lambda a, b: F.concat(a, b))
+    return F.when(n >= 2, pairs).otherwise(F.array().cast("array<string>"))
 
 
 def indexable(grams: Column) -> Column:
@@ -80,3 +81,13 @@ def request_grams(term: str) -> list[str]:
     """Distinct pairs of UTF-16 units: those with surrogates count, but are in no index."""
     u = units(term)
     return list(dict.fromkeys(a + b for a, b in zip(u, u[1:])))
+
+
+def gram_key_of(gram: str) -> int:
+    """gram_key() of one Python string."""
+    return ord(gram[0]) * 65536 + ord(gram[1])
+
+
+def gram_shard_of(key: int, shards: int) -> int:
+    """gram_shard() of one number."""
+    return key * 2654435761 % 2**32 % shards

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.request import parse
+from ..plans.request import MODES, SORTS, parse
 from .index import Catalog
-from .search import BOOSTS
+from .search import BOOSTS, FLAGS
 
 _TERM = T.StructType(
     [
@@ -19,8 +21,6 @@ _TERM = T.StructType(
         T.StructField("grams", T.ArrayType(T.StringType())),
     ]
 )
-
-
 @F.udf(T.ArrayType(_TERM), useArrow=True)
 def _terms(q):
     include, exclude = parse(q or "")
@@ -28,18 +28,42 @@ def _terms(q):
     return [(out, k, t.text, t.n, usable(t)) for out, terms in ((False, include), (True, exclude)) for k, t in enumerate(terms)]
 
 
-def search_many(catalog: Catalog, requests: DataFrame, size: int = 20, exclude_only: bool = True) -> DataFrame:
-    """(request_id, rank, id, score): the first `size` by relevance for each row (request_id, q) of requests.
+def normalised(requests: DataFrame) -> DataFrame:
+    """requests with all columns of a request; missing ones and nulls get their defaults, page and size their bounds.
+    Modes and sorts that there are not fail the job."""
+    have, no_tags = set(requests.columns), F.array().cast("array<int>")
+    defaults = {"tags": no_tags, "exclude_tags": no_tags, **{mode: F.lit("any") for mode, _ in FLAGS}, "sort": F.lit("relevance"), "page": F.lit(1), "size": F.lit(20)}
+    filled = requests.select("request_id", "q", *[(F.coalesce(F.col(c), d) if c in have else d).alias(c) for c, d in defaults.items()])
+    right = reduce(lambda a, b: a & b, [F.col(name).isin(*MODES) for name, _ in FLAGS], F.col("sort").isin(*SORTS))
+    size = F.least(F.greatest(F.col("size"), F.lit(1)), F.lit(100)).cast("long")
+    checked = filled.withColumn("sort", F.when(right, F.col("sort")).otherwise(F.raise_error(F.lit("a mode or sort that there is not"))))
+    filtered = reduce(lambda a, b: a | b, [F.col(name) != "any" for name, _ in FLAGS], (F.size("tags") > 0) | (F.size("exclude_tags") > 0))
+    checked = checked.withColumns({"size": size, "skip": (F.greatest(F.col("page"), F.lit(1)) - 1) * size, "filtered": filtered})
+    return checked.withColumnsRenamed({mode: f"wanted_{mode}" for mode, _ in FLAGS})
+
+
+def _passes() -> Column:
+    """A document's tags and flags against a request's, as columns side by side."""
+    found = F.forall("tags", lambda t: F.array_contains("tag_ids", t)) & ~F.arrays_overlap("tag_ids", F.col("exclude_tags"))
+    for mode, column in FLAGS:
+        found = found & ((F.col(f"wanted_{mode}") == "any") | ((F.col(f"wanted_{mode}") == "only1") == F.col(column)))
+    return found
+
+
+def search_many(catalog: Catalog, requests: DataFrame, together: int = 10_000) -> DataFrame:
+    """(request_id, rank, id, score, total, has_more): the page of each row of requests, as search() gives it.
 
-    Requests with terms to exclude only get all other documents, largest ids first, as in search(); without
-    `exclude_only` they have no result. Requests without terms have none. Postings are joined by gram, counted by request,
-    term and document, and ranked within each request; nothing is gathered on the driver.
+    requests: request_id, q and, where wanted, the other columns of a request. Postings are joined by gram, counted by
+    request, term and document, and ranked within each request, of which each task passes on a page at most. Requests
+    without a term to include run over all documents, side by side in one scan; there may be `together` of them.
     """
-    terms = requests.select("request_id", F.explode(_terms("q")).alias("t")).select("request_id", "t.*")
+    asked = normalised(requests).withColumn("terms", _terms("q"))
+    settings = asked.select("request_id", "tags", "exclude_tags", *[f"wanted_{mode}" for mode, _ in FLAGS], "sort", "skip", "size", "filtered")
+    terms = asked.select("request_id", F.explode("terms").alias("t")).select("request_id", "t.*")
     grams = terms.select("request_id", "exclude", "k", "n", F.explode("grams").alias("gram"))
     known = grams.join(catalog.grams.select("gram"), "gram")
     found = known.groupBy("request_id", "exclude", "k").agg(F.count("*").cast("int").alias("f"))
-    counted = known.join(catalog.postings, "gram").groupBy("request_id", "exclude", "k", "n", "id").agg(F.count("*").alias("hit"))
+    counted = known.join(catalog.postings.select("gram", "id"), "gram").groupBy("request_id", "exclude", "k", "n", "id").agg(F.count("*").alias("hit"))
     least = F.least(F.greatest(F.lit(1), F.floor((3 * F.col("n") + 4) / 5)), F.col("f"))
     hit = counted.join(found, ["request_id", "exclude", "k"]).where(F.col("hit") >= least)
     gone = hit.where("exclude").select("request_id", "id").distinct()
@@ -47,22 +71,36 @@ def search_many(catalog: Catalog, requests: DataFrame, size: int = 20, exclude_o
         F.array_sort(F.collect_list(F.struct("k", (F.col("hit") / F.col("n")).alias("part")))).alias("parts")
     )
     wanted = terms.where("not exclude").groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("k", "term"))).alias("terms"))
-    rows = per.join(gone, ["request_id", "id"], "left_anti").join(catalog.docs.select("id", *[c for c, _ in BOOSTS]), "id")
-    rows = rows.join(wanted, "request_id")
+    facts = ["id", "tag_ids", *[c for _, c in FLAGS]]
+    rows = per.join(catalog.docs.select(*facts, *[c for c, _ in BOOSTS]), "id").join(wanted, "request_id").join(settings, "request_id").where(_passes())
     folded = F.aggregate("parts", F.lit(0.0).cast("float"), lambda a, x: (a.cast("double") + x["part"]).cast("float")).cast("double")
-    # One term alone is rounded only in the end.
+    # One term alone is rounded only in the end; several without relevance aren't scored.
     base = F.when(F.size("terms") > 1, folded).otherwise(F.col("parts")[0]["part"])
 
-    def boosted(a, x):
+    def add(a, x):
         for column, boost in BOOSTS:
             a = a + F.when(F.contains(F.col(column), x["term"]), F.lit(boost)).otherwise(F.lit(0.0))
         return a
 
-    score = F.aggregate("terms", base, boosted).cast("float").cast("double")
-    ranked = rows.select("request_id", "id", score.alias("score"))
-    if exclude_only:
-        only = terms.groupBy("request_id").agg(F.min("exclude").alias("only")).where("only").select("request_id")
-        rest = only.crossJoin(catalog.docs.select("id")).join(gone, ["request_id", "id"], "left_anti")
-        ranked = ranked.unionByName(rest.withColumn("score", F.lit(0.0)))
-    rank = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), F.desc("id")))
-    return ranked.withColumn("rank", rank.cast("long")).where(F.col("rank") <= size).select("request_id", "rank", "id", "score")
+    score = F.aggregate("terms", base, add).cast("float").cast("double")
+    plain = (F.size("terms") > 1) & (F.col("sort") != "relevance")
+    out = ["request_id", "id", "score", "sort", "skip", "size"]
+    ranked = rows.withColumn("score", F.when(plain, 1.0).otherwise(score)).select(*out)
+    # No term to include: all documents that pass, if there is a term to exclude or a filter.
+    rest = asked.where(~F.exists("terms", lambda t: ~t["exclude"]) & ((F.size("terms") > 0) | F.col("filtered"))).drop("terms", "q")
+    few = rest.limit(together + 1).collect()
+    if len(few) > together:
+        raise ValueError(f"more than {together} requests without a term to include; deal them out over several calls")
+    if few:
+        beside = F.broadcast(requests.sparkSession.createDataFrame(few, rest.schema).withColumn("one", F.lit(1)))
+        scanned = catalog.docs.select(*facts, F.lit(1).alias("one")).join(beside, "one").where(_passes())
+        ranked = ranked.unionByName(scanned.withColumn("score", F.lit(0.0)).select(*out))
+    ranked = ranked.join(gone, ["request_id", "id"], "left_anti")
+    last = settings.agg(F.max(F.col("skip") + F.col("size"))).first()[0] or 0
+    first = F.when(F.col("sort") == "relevance", F.col("score")).otherwise(0.0)
+    then = F.when(F.col("sort") == "id_asc", F.col("id")).otherwise(-F.col("id"))
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy(first.desc(), then.asc()))
+    total = ranked.groupBy("request_id").agg(F.count("*").alias("total"))
+    cut = ranked.withColumn("rank", place.cast("long")).where(F.col("rank") <= last)
+    cut = cut.where((F.col("rank") > F.col("skip")) & (F.col("rank") <= F.col("skip") + F.col("size"))).join(total, "request_id")
+    return cut.select("request_id", "rank", "id", "score", "total", (F.col("skip") + F.col("size") < F.col("total")).alias("has_more"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cover import split_cover
-from ..functions.text import ASTRAL, SEPARATOR, bigrams, indexable, norm, norm_each, strip
+from ..functions.text import ASTRAL, SEPARATOR, bigrams, gram_key, gram_shard, indexable, norm, norm_each
 
 
 @dataclass
@@ -18,6 +18,8 @@ class Catalog:
     authors: DataFrame
     postings: DataFrame
     grams: DataFrame
+    #: Of a saved catalogue, the shards into which a hash deals grams; postings and grams then have a column `shard`.
+    shards: int | None = None
 
     def cached(self) -> Catalog:
         """Every table persisted, so that searches don't derive them again."""
@@ -25,6 +27,13 @@ class Catalog:
             df.persist()
         return self
 
+    def warm(self) -> Catalog:
+        """cached(), and read now."""
+        self.cached()
+        for df in (self.docs, self.tags, self.authors, self.postings, self.grams):
+            df.count()
+        return self
+
     def release(self) -> None:
         for df in (self.docs, self.tags, self.authors, self.postings, self.grams):
             df.unpersist()
@@ -102,6 +111,36 @@ def frequencies(posted: DataFrame) -> DataFrame:
     return posted.groupBy("gram").agg(F.count("*").alias("df"))
 
 
+def check_ids(docs: DataFrame) -> None:
+    """Raise ValueError unless ids are positive and none comes twice. Sorted by id, they then increase strictly."""
+    bad = docs.groupBy("id").agg(F.count("*").alias("n")).where("id is null or id < 1 or n > 1").limit(5).collect()
+    if bad:
+        raise ValueError(f"ids that aren't positive or come twice: {sorted((r['id'], r['n']) for r in bad)}")
+
+
+def check_grams(grams: DataFrame) -> None:
+    """Raise ValueError if two grams of the dictionary have one key."""
+    twice = grams.groupBy(gram_key(F.col("gram")).alias("key")).agg(F.count("*").alias("n")).where("n > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"keys that come twice: {sorted(r['key'] for r in twice)}")
+
+
+def layout(posted: DataFrame, shards: int = 8) -> DataFrame:
+    """(gram, shard, df, length, offset): where a gram's postings lie if each shard holds, in order of keys, the
+    differences of ids (the first from -1) as numbers of seven bits to a byte.
+
+    Only lengths by gram meet in a shard's running total; ids are counted before.
+    """
+    delta = F.col("id") - F.coalesce(F.lag("id").over(Window.partitionBy("gram").orderBy("id")), F.lit(-1))
+    each = posted.select("gram", delta.alias("delta"))
+    length = F.ceil(F.length(F.regexp_replace(F.bin("delta"), "^0+", "")) / 7).cast("long")
+    sized = each.groupBy("gram").agg(F.count("*").alias("df"), F.sum(length).alias("length"))
+    key = gram_key(F.col("gram"))
+    placed = sized.select("*", key.alias("key"), gram_shard(key, shards).alias("shard"))
+    before = Window.partitionBy("shard").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.select("gram", "shard", "df", "length", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
+
+
 def build(entries: DataFrame, ascii_only: bool = False) -> Catalog:
     authors = author_dictionary(entries)
     posted = postings(entries, ascii_only)
@@ -118,6 +157,3 @@ def statistics(entries: DataFrame, ascii_only: bool = False) -> DataFrame:
     tags = entries.select(F.explode("tags.tag_id").alias("t")).agg(F.count_distinct("t").alias("tags")).select(one, "*")
     authors = doc_authors(entries).agg(F.count_distinct("author_id").alias("authors")).select(one, "*")
     return docs.join(posted, "k").join(tags, "k").join(authors, "k").drop("k")
-
-
-__all__ = ["Catalog", "author_dictionary", "build", "doc_authors", "document_grams", "documents", "frequencies", "postings", "statistics", "strip", "tag_dictionary"]

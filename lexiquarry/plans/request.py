@@ -77,3 +77,14 @@ def parse(q: str) -> tuple[tuple[Term, ...], tuple[Term, ...]]:
 def threshold(n: int, found: int) -> int:
     """Grams that a document has to share: three in five of n, of those that the index knows."""
     return min(max(1, (3 * n + 4) // 5), found)
+
+
+def resolve_tags(known: dict[int, str], tags: tuple[int | str, ...] = (), exclude: tuple[int | str, ...] = ()) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """The ids of chosen tags, given by id or name: unknown ones go, each stays once, and what is both chosen and
+    excluded is chosen. known: the dictionary's names by id; a name of several ids means the least."""
+    by_name: dict[str, int] = {}
+    for i, name in sorted(known.items(), reverse=True):
+        by_name[name] = i
+    found = lambda given: dict.fromkeys(i for t in given if (i := t if t in known else by_name.get(t)) is not None)
+    chosen = found(tags)
+    return tuple(chosen), tuple(i for i in found(exclude) if i not in chosen)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from .functions import cover, text
 from .operators import batch, index, search
 from .plans.request import Request, parse
-from .sources import catalogs, json_documents
+from .sources import catalogs, json_documents, store
+from .sources.shared import shared_dir
 
 # --- SQL common to the oracles ---------------------------------------------------------------------------
 
@@ -28,10 +30,10 @@ d AS (
 """
 TEXTS = f"""
 d AS (
-  SELECT doc_id + 1 AS id, substr(text, 1, 60) AS title, source AS author, regexp_extract(source, '(\\d+)', 1)::INT AS author_id, lang AS alias,
+  SELECT doc_id + 1 AS id, text AS title, source AS author, regexp_extract(source, '(\\d+)', 1)::INT AS author_id, lang AS alias,
     ascii(lang)::INT AS type_tag, ascii(lang)::INT AS size_tag,
     coalesce(toxic = 1, false) AS hidden, coalesce(quality = 1, false) AS is_hide_chapter, false AS need_login, false AS is_lock,
-    {_NORM.format("substr(text, 1, 60)")} AS title_norm, {_NORM.format("lang")} AS aliases_norm, {_NORM.format("source")} AS authors_norm
+    {_NORM.format("text")} AS title_norm, {_NORM.format("lang")} AS aliases_norm, {_NORM.format("source")} AS authors_norm
   FROM documents LEFT JOIN labels USING (doc_id)),
 """
 _POSTINGS = f"""
@@ -157,12 +159,12 @@ def bigrams_distinct(spark, sf_dir):
     return _names(spark, sf_dir).select("p_partkey", F.explode(F.array_distinct(text.bigrams(F.col("t")))).alias("gram"))
 
 
-_TEXT_GRAMS = f"SELECT DISTINCT unnest({_GRAMS.format('t')}) AS gram FROM (SELECT {_NORM.format('substr(text, 1, 60)')} AS t FROM documents)"
+_TEXT_GRAMS = f"SELECT DISTINCT unnest({_GRAMS.format('t')}) AS gram FROM (SELECT {_NORM.format('text')} AS t FROM documents)"
 _KEY = "(unicode(gram)::BIGINT * 65536 + unicode(substr(gram, 2, 1)))"
 
 
 def _text_grams(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(text.norm(F.substring("text", 1, 60)).alias("t"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(text.norm(F.col("text")).alias("t"))
     return d.select(F.explode(text.indexable(text.bigrams(F.col("t")))).alias("gram")).distinct()
 
 
@@ -411,22 +413,119 @@ def hydrate_page(spark, sf_dir):
     return items.select("rank", "id", "title", *names, "hidden", "is_hide_chapter", "need_login", "is_lock", "total", "has_more")
 
 
-_MANY = {1: "brand#13", 2: "small ring -brand#2", 3: "widgt brand#11 steel", 4: "zzqq", 5: "-ring", 6: "bolt"}
+#: Requests of all kinds: terms, terms to exclude, filters alone, sorts and pages.
+_MANY = {
+    1: Request(q="brand#13"),
+    2: Request(q="small ring -brand#2"),
+    3: Request(q="widgt brand#11 steel"),
+    4: Request(q="zzqq"),
+    5: Request(q="-ring"),
+    6: Request(q="bolt"),
+    7: Request(q="brand#13 ring", tags=(2,), exclude_tags=(3,), hidden="only0"),
+    8: Request(q="brand#11 ring", sort="id_asc", page=2, size=7),
+    9: Request(tags=(2,), lock="only1", sort="id_asc"),
+    10: Request(q="-ring", hidden="only1", page=2),
+    11: Request(),
+    12: Request(q="brand#13", sort="id_desc", need_login="only1", size=1000),
+}
+
+
+def _requests(spark: SparkSession) -> DataFrame:
+    fields = ("q", "tags", "exclude_tags", "hidden", "hide_chapter", "need_login", "lock", "sort", "page", "size")
+    rows = [(k, *[list(v) if isinstance(v := getattr(r, f), tuple) else v for f in fields]) for k, r in _MANY.items()]
+    flags = "hidden string, hide_chapter string, need_login string, lock string"
+    return spark.createDataFrame(rows, f"request_id long, q string, tags array<int>, exclude_tags array<int>, {flags}, sort string, page int, size int")
 
 
 def _many_sql() -> str:
-    parts = []
-    for k, q in _MANY.items():
-        if parse(q)[0]:
-            parts.append(f"SELECT {k}::BIGINT AS request_id, * FROM ({_page_sql(Request(q=q), columns='rank, id, score')})")
-    return " UNION ALL ".join(parts)
+    return " UNION ALL ".join(f"SELECT {k}::BIGINT AS request_id, * FROM ({_page_sql(r)})" for k, r in _MANY.items())
 
 
 @_query("batch_search", _many_sql())
 def batch_search(spark, sf_dir):
-    requests = spark.createDataFrame(list(_MANY.items()), "request_id long, q string")
-    # _many_sql has no rows for requests with terms to exclude only.
-    return batch.search_many(_part_catalog(spark, sf_dir), requests, exclude_only=False)
+    return batch.search_many(_part_catalog(spark, sf_dir), _requests(spark))
+
+
+@_query(
+    "item_details",
+    _page_sql(
+        _ITEM,
+        columns="rank, id, 'item/' || id AS href, title, alias AS alias_text, concat_ws(',', CASE WHEN hidden THEN 'hidden' END, "
+        "CASE WHEN is_hide_chapter THEN 'chapters hidden' END, CASE WHEN need_login THEN 'login needed' END, CASE WHEN is_lock THEN 'locked' END) AS status",
+        joins="JOIN d USING (id)",
+    ),
+)
+def item_details(spark, sf_dir):
+    catalog = _part_catalog(spark, sf_dir)
+    shown = search.details(search.hydrate(catalog, search.search(catalog, _ITEM)), "item/")
+    return shown.withColumn("status", F.array_join("status", ","))
+
+
+@_query("resolved_tags", f"WITH {PARTS.strip().rstrip(',')} SELECT id FROM d WHERE (type_tag = 2 OR size_tag = 2) AND NOT (type_tag = 3 OR size_tag = 3)")
+def resolved_tags(spark, sf_dir):
+    """Tags chosen by name and id: the unknown one goes, and 2 is chosen although it is excluded too."""
+    catalog = _part_catalog(spark, sf_dir)
+    r = search.Searcher(catalog).choose(("size 2", "no such tag"), (3, 2, -7))
+    return catalog.docs.where(search.passes(r)).select("id")
+
+
+# --- the saved catalogue -----------------------------------------------------------------------------------
+
+_BYTES = "ceil((floor(log2(delta)) + 1) / 7)::BIGINT"
+
+
+@_query(
+    "posting_layout",
+    _INDEX + f", e AS (SELECT gram, id - coalesce(lag(id) OVER (PARTITION BY gram ORDER BY id), -1) AS delta FROM g), "
+    f"l AS (SELECT gram, {_KEY} AS key, count(*) AS df, sum({_BYTES})::BIGINT AS length FROM e GROUP BY gram), "
+    "s AS (SELECT *, ((key::HUGEINT * 2654435761) % 4294967296 % 8)::INT AS shard FROM l) "
+    "SELECT gram, shard, df, length, coalesce(sum(length) OVER (PARTITION BY shard ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset FROM s",
+)
+def posting_layout(spark, sf_dir):
+    return index.layout(postings(spark, sf_dir), 8)
+
+
+def _saved(spark: SparkSession, sf_dir: str, name: str) -> index.Catalog:
+    folder = f"{shared_dir(spark)}/catalogue-{name}-{uuid.uuid4().hex[:8]}"
+    store.save(_part_catalog(spark, sf_dir), folder, shards=8, generated_at="2026-01-01T00:00:00Z", skipped=0)
+    return store.load(spark, folder)
+
+
+@_query("saved_search", _page_sql(Request(q="brand#13 ring -bolt", size=30)))
+def saved_search(spark, sf_dir):
+    """Written, read by its manifest, and probed by the grams' shards."""
+    return search.search(_saved(spark, sf_dir, "search"), Request(q="brand#13 ring -bolt", size=30))
+
+
+@_query(
+    "saved_statistics",
+    _INDEX + "SELECT (SELECT count(*) FROM d) AS count, count(DISTINCT gram) AS unique_grams, count(*) AS postings, "
+    "(SELECT count(DISTINCT t) FROM (SELECT type_tag AS t FROM d UNION ALL SELECT size_tag FROM d)) AS tags, "
+    "(SELECT count(DISTINCT author_id) FROM d) AS authors, 8 AS shards, '2026-01-01T00:00:00Z' AS generated_at FROM g",
+)
+def saved_statistics(spark, sf_dir):
+    """What the manifest of a saved catalogue says of it."""
+    folder = f"{shared_dir(spark)}/catalogue-statistics-{uuid.uuid4().hex[:8]}"
+    store.save(_part_catalog(spark, sf_dir), folder, shards=8, generated_at="2026-01-01T00:00:00Z", skipped=0)
+    m = store.get_json(spark, f"{folder}/manifest.json")
+    kept = ("count", "unique_grams", "postings", "tags", "authors")
+    schema = ", ".join(f"{k} long" for k in kept) + ", shards int, generated_at string"
+    return spark.createDataFrame([(*[m["stats"][k] for k in kept], m["shards"], m["generated_at"])], schema)
+
+
+@_query("saved_postings", _INDEX + "SELECT gram, id, ((" + _KEY + "::HUGEINT * 2654435761) % 4294967296 % 8)::INT AS shard FROM g")
+def saved_postings(spark, sf_dir):
+    return _saved(spark, sf_dir, "postings").postings.select("gram", "id", "shard")
+
+
+@_query(
+    "saved_documents",
+    f"WITH {PARTS.strip().rstrip(',')} SELECT id, title, alias, author, hidden, is_hide_chapter, need_login, is_lock, title_norm, aliases_norm, authors_norm FROM d",
+)
+def saved_documents(spark, sf_dir):
+    docs = _saved(spark, sf_dir, "documents").docs
+    names = [F.array_join("aliases", "/").alias("alias"), F.array_join("author_names", "/").alias("author")]
+    return docs.select("id", "title", *names, "hidden", "is_hide_chapter", "need_login", "is_lock", "title_norm", "aliases_norm", "authors_norm")
 
 
 # --- ingest ----------------------------------------------------------------------------------------------
@@ -439,6 +538,8 @@ DIRTY = (
     (4, '{"id":14,"title":"T","hidden":"1","isHideChapter":"1","canRead":"no","is_need_login":0,"is_lock":true}'),
     (5, '{"id":15,"title":"T","hidden":"x","isHideChapter":1.0,"canRead":"maybe","is_need_login":2}'),
     (6, '{"id":16,"title":"T","canRead":true,"is_need_login":1}'),
+    (7, '{"id":17,"title":"T","canRead":0.5,"hidden":"1_0","is_lock":99999999999}'),
+    (8, '{"id":18,"title":"T","hidden":0.9,"is_lock":"１","canRead":-3}'),
 )
 
 
@@ -446,7 +547,8 @@ DIRTY = (
     "ingest_json",
     """SELECT * FROM (VALUES (11::BIGINT, 'Red Ring', 'https://h', '/p.png#f', 'Rr', 'Ann Lee', '7', false, false, false, false),
   (13, '', '', '', '', 'Ann Lee', '7', false, false, false, false), (14, 'T', '', '', '', '', '', true, false, true, true),
-  (15, 'T', '', '', '', '', '', false, true, true, false), (16, 'T', '', '', '', '', '', false, false, false, false))
+  (15, 'T', '', '', '', '', '', false, true, true, false), (16, 'T', '', '', '', '', '', false, false, false, false),
+  (17, 'T', '', '', '', '', '', true, false, true, true), (18, 'T', '', '', '', '', '', false, false, false, true))
   v(id, title, cover_base, cover_path, aliases, authors, tag_ids, hidden, is_hide_chapter, need_login, is_lock)""",
 )
 def ingest_json(spark, sf_dir):

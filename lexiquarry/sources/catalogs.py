@@ -39,8 +39,8 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents and labels: the first 60 characters as title, source as author, language as alias and tag."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.substring("text", 1, 60).alias("title"), "lang", "source")
+    """documents and labels: the whole text as title, source as author, language as alias and tag."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("title"), "lang", "source")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     joined = d.join(labels, "doc_id", "left")
     flag = lambda c: F.coalesce(F.col(c) == 1, F.lit(False))

@@ -33,8 +33,15 @@ def _string(v: Column, path: str) -> Column:
 
 
 def _lenient(v: Column, path: str) -> Column:
-    """What reads as a whole number and isn't 0; anything else is false."""
-    return F.coalesce(_get(v, path, "int"), F.lit(0)) != 0
+    """What reads as a whole number and isn't 0 (fractions of numbers are cut off); anything else is false.
+
+    A text may have blanks around, a sign, and single underscores between its digits, which may be of any script.
+    """
+    kind, text = _kind(_get(v, path, "variant")), _get(v, path, "string")
+    nonzero = text.rlike(r"^\s*[+-]?\p{Nd}+(_\p{Nd}+)*\s*$") & (F.regexp_replace(text, r"[\s+_0\uff10\u0660\u06f0\u0966-]", "") != "")
+    number = F.abs(_get(v, path, "double")) >= 1
+    found = F.when(kind == "BOOLEAN", _get(v, path, "boolean")).when(kind == "STRING", nonzero).when(kind != "VOID", number)
+    return F.coalesce(found, F.lit(False))
 
 
 def _entries(v: Column, path: str) -> Column:
@@ -44,13 +51,22 @@ def _entries(v: Column, path: str) -> Column:
     return F.transform(
         usable,
         lambda x: F.struct(
-            _get(x, "$.tag_id", "int").alias("number"),
+            _get(x, "$.tag_id", "long").alias("number"),
             F.when(_kind(_get(x, "$.tag_name", "variant")) == "STRING", _get(x, "$.tag_name", "string")).alias("name"),
         ),
     )
 
 
-def parse(raw: DataFrame) -> DataFrame:
+def _ranged(authors: Column, largest: int | None) -> Column:
+    if largest is None:
+        return authors
+    wrong = F.exists(authors, lambda x: (x["number"] < 0) | (x["number"] > largest))
+    return F.when(wrong, F.raise_error(F.lit(f"an author's id is not within 0 and {largest}"))).otherwise(authors)
+
+
+def parse(raw: DataFrame, largest_author: int | None = None) -> DataFrame:
+    """Entries of raw. An author's id below 0 or above largest_author, if given, fails the job, also where its name
+    isn't usable."""
     v = F.col("v")
     rows = raw.select(F.col("id").cast("long").alias("src_id"), F.try_parse_json("json").alias("v"))
     can_read, kind = _get(v, "$.canRead", "variant"), _kind(_get(v, "$.canRead", "variant"))
@@ -58,7 +74,7 @@ def parse(raw: DataFrame) -> DataFrame:
     readable = (
         F.when(kind == "BOOLEAN", _get(v, "$.canRead", "boolean"))
         .when(kind == "STRING", F.when(word.isin("1", "true", "yes", "y"), True).when(word.isin("0", "false", "no", "n"), False))
-        .when(can_read.isNotNull() & (kind != "VOID"), _get(v, "$.canRead", "double") != 0)
+        .when(can_read.isNotNull() & (kind != "VOID"), F.abs(_get(v, "$.canRead", "double")) >= 1)
     )
     hide = _get(v, "$.isHideChapter", "variant")
     strings = F.coalesce(_get(v, "$.aliases", "array<variant>"), F.array().cast("array<variant>"))
@@ -70,10 +86,10 @@ def parse(raw: DataFrame) -> DataFrame:
         without_https(F.coalesce(_string(v, "$.cover"), F.lit(""))).alias("cover"),
         F.filter(F.transform(strings, lambda x: _get(x, "$", "string")), lambda s: s != "").alias("aliases"),
         F.transform(
-            F.filter(_entries(v, "$.authors"), lambda x: F.coalesce(x["name"], F.lit("")) != ""),
-            lambda x: F.struct(x["number"].alias("author_id"), x["name"].alias("name")),
+            F.filter(_ranged(_entries(v, "$.authors"), largest_author), lambda x: F.coalesce(x["name"], F.lit("")) != ""),
+            lambda x: F.struct(x["number"].try_cast("int").alias("author_id"), x["name"].alias("name")),
         ).alias("authors"),
-        F.transform(_entries(v, "$.types"), lambda x: F.struct(x["number"].alias("tag_id"), x["name"].alias("name"))).alias("tags"),
+        F.transform(_entries(v, "$.types"), lambda x: F.struct(x["number"].try_cast("int").alias("tag_id"), x["name"].alias("name"))).alias("tags"),
         _lenient(v, "$.hidden").alias("hidden"),
         ((_kind(hide) != "STRING") & F.coalesce(_get(v, "$.isHideChapter", "double") == 1, F.lit(False))).alias("is_hide_chapter"),
         F.coalesce(~readable, _lenient(v, "$.is_need_login")).alias("need_login"),

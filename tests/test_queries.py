@@ -31,9 +31,13 @@ def test_query(spark, oracle, name):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
-def test_batch_with_exclude_only(spark):
+def test_batch_follows_search(spark):
     requests = [(k, q) for k, q in enumerate(("brand#13", "-ring", "-zzqqxx", "-ring -brand#1", ""))]
     catalog = queries._part_catalog(spark, FOLDER)
-    got = queries.batch.search_many(catalog, spark.createDataFrame(requests, "request_id long, q string"), 7)
-    want = [(k, r.rank, r.id, r.score) for k, q in requests for r in queries.search.search(catalog, queries.Request(q=q, size=7)).collect()]
-    assert sorted((r.request_id, r.rank, r.id, r.score) for r in got.collect()) == sorted(want) and {k for k, *_ in want} == {0, 1, 2}
+    got = queries.batch.search_many(catalog, spark.createDataFrame(requests, "request_id long, q string"))
+    want = [(k, *r) for k, q in requests for r in queries.search.search(catalog, queries.Request(q=q)).select("rank", "id", "score", "total", "has_more").collect()]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and {k for k, *_ in want} == {0, 1, 2, 3}
+    with pytest.raises(Exception, match="mode or sort"):
+        queries.batch.search_many(catalog, spark.createDataFrame([(1, "ring", "random")], "request_id long, q string, sort string")).collect()
+    with pytest.raises(ValueError):
+        queries.batch.search_many(catalog, spark.createDataFrame(requests, "request_id long, q string"), together=2)

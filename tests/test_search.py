@@ -1,15 +1,23 @@
 """Search against a brute-force model of its definition."""
 
+import json
 import random
+import re
+import sqlite3
+import threading
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexiquarry.functions.text import SEPARATOR, norm_of, request_grams
+from lexiquarry.__main__ import main
 from lexiquarry.operators import batch, index
-from lexiquarry.operators.search import Searcher, search
+from lexiquarry.operators.index import Catalog
+from lexiquarry.operators.search import Searcher, Superseded, of_grams, search
 from lexiquarry.plans.request import Request, parse, threshold
-from lexiquarry.sources import json_documents, store
+from lexiquarry.sources import json_documents, sqlite, store
 
 SCHEMA = (
     "src_id long, id long, title string, cover string, aliases array<string>, authors array<struct<author_id:int,name:string>>, "
@@ -120,27 +128,113 @@ def test_search_follows_the_model(spark, seed):
         got = search(catalog, q).orderBy("rank").collect()
         assert [(r.id, r.score) for r in got] == want[q.offset : q.offset + q.limit], q
         assert all(r.total == len(want) and r.has_more == (q.offset + q.limit < len(want)) for r in got)
-    many = spark.createDataFrame([(k, q.q) for k, q in enumerate(REQUESTS)], "request_id long, q string")
+    many = [(k, q.q, list(q.tags), list(q.exclude_tags), q.hidden, q.hide_chapter, q.need_login, q.lock, q.sort, q.page, q.size) for k, q in enumerate(REQUESTS)]
+    schema = "request_id long, q string, tags array<int>, exclude_tags array<int>, hidden string, hide_chapter string, need_login string, lock string, sort string, page int, size int"
     found = {}
-    for r in batch.search_many(catalog, many).orderBy("request_id", "rank").collect():
+    for r in batch.search_many(catalog, spark.createDataFrame(many, schema)).orderBy("request_id", "rank").collect():
         found.setdefault(r.request_id, []).append((r.id, r.score))
     for k, q in enumerate(REQUESTS):
-        if parse(q.q)[0]:
-            assert found.get(k, []) == model(rows, Request(q=q.q))[:20]
+        assert found.get(k, []) == model(rows, q)[q.offset : q.offset + q.limit], q
     catalog.release()
 
 
 def test_saved_catalogue_and_paging(spark, tmp_path):
-    rows = entries(3)
+    rows, steps, folder = entries(3), [], str(tmp_path / "c")
     built = index.build(spark.createDataFrame(rows, SCHEMA))
-    store.save(built, str(tmp_path / "c"))
-    searcher = Searcher(store.load(spark, str(tmp_path / "c")))
+    made = store.save(built, folder, tell=lambda *x: steps.append(x), shard_docs=10)
+    assert steps[-1] == ("postings", 5, 5) and made["stats"]["count"] == sum(r[1] is not None for r in rows)
+    catalog = store.load(spark, folder).warm()
+    searcher = Searcher(catalog, steps.append)
     want = model(rows, Request(q="ab"))
     for page in (1, 2):
         items = searcher.search(Request(q="ab", size=5, page=page)).orderBy("rank").collect()
         assert [r.id for r in items] == [d for d, _ in want[5 * page - 5 : 5 * page]]
+    assert steps.count("looking up") == 1
     assert {t.tag_id for r in searcher.by_tag(2).collect() for t in r.tags} >= {2}
     assert searcher.by_author("").count() == 0
+    assert searcher.choose((2, 99, 2), (2, 3)) == Request(tags=(2,), exclude_tags=(3,))
+    searcher.release()
+    catalog.release()
+
+
+def test_only_shards_of_the_grams_are_read(spark, tmp_path):
+    store.save(index.build(spark.createDataFrame(entries(3), SCHEMA)), str(tmp_path / "c"))
+    catalog = store.load(spark, str(tmp_path / "c"))
+    for table in (catalog.grams, catalog.postings):
+        rows = of_grams(catalog, table, ["ab"])
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^\]]*shard#\d+ (=|IN) ", plan), plan
+        assert len({f.split("shard=")[1].split("/")[0] for f in rows.inputFiles()}) >= 1
+        assert rows.select("shard").distinct().count() == 1
+
+
+def test_store_names_cleans_and_checks(spark, tmp_path):
+    folder = tmp_path / "c"
+    tables = lambda: sorted(x.name for x in folder.iterdir() if not x.name.startswith("."))
+    built = index.build(spark.createDataFrame(entries(3), SCHEMA))
+    first = store.save(built, str(folder), generated_at="t")
+    again = store.save(index.build(spark.createDataFrame(entries(3)[::-1], SCHEMA).repartition(3)), str(folder), generated_at="t")
+    assert first == again and len(tables()) == 6  # same content, same names
+    raw = (folder / "manifest.json").read_text()
+    assert raw == json.dumps(json.loads(raw), sort_keys=True, separators=(",", ":"))
+    other = store.save(index.build(spark.createDataFrame(entries(4), SCHEMA)), str(folder), clean_up=True)
+    assert tables() == sorted(["manifest.json", *(t["path"] for t in other["tables"].values())])
+    assert all(f.name.endswith(".zstd.parquet") for f in folder.rglob("*.parquet"))
+    spark.read.parquet(str(folder / other["tables"]["docs"]["path"])).limit(1).write.mode("append").parquet(str(folder / other["tables"]["docs"]["path"]))
+    with pytest.raises(ValueError, match="docs has"):
+        store.load(spark, str(folder))
+    twice = index.build(spark.createDataFrame([*entries(3), entries(3)[1]], SCHEMA))
+    with pytest.raises(ValueError, match="come twice"):
+        store.save(twice, str(tmp_path / "d"))
+    with pytest.raises(ValueError, match="come twice"):
+        index.check_ids(spark.range(0, 3))
+    with pytest.raises(ValueError, match="keys"):
+        index.check_grams(spark.createDataFrame([("ab",), ("ab",)], "gram string"))
+    json_text = (folder / "manifest.json").read_text().replace('"version":2', '"version":9')
+    (folder / "manifest.json").write_text(json_text)
+    (folder / ".manifest.json.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="version 9"):
+        store.load(spark, str(folder))
+
+
+def test_latest_request_wins(spark):
+    """A search that runs is interrupted by the next one."""
+    catalog = index.build(spark.createDataFrame(entries(3), SCHEMA)).cached()
+    slow = F.udf(lambda g: time.sleep(0.5) or g, "string")
+    searcher, failed = Searcher(Catalog(catalog.docs, catalog.tags, catalog.authors, catalog.postings, catalog.grams.select(slow("gram").alias("gram")))), []
+
+    def first():
+        try:
+            searcher.search(Request(q="abcd"))
+        except Superseded as e:
+            failed.append(e)
+
+    t = threading.Thread(target=first)
+    t.start()
+    time.sleep(2)
+    searcher.catalog = catalog
+    assert searcher.search(Request(lock="only0")).count() > 0
+    t.join(60)
+    assert len(failed) == 1 and not t.is_alive()
+    catalog.release()
+
+
+def test_command_line(spark, tmp_path):
+    """An SQLite file to a saved catalogue."""
+    db = tmp_path / "s.sqlite"
+    with sqlite3.connect(db) as c:
+        c.execute("CREATE TABLE comics (id INTEGER, json TEXT)")
+        c.executemany("INSERT INTO comics VALUES (?, ?)", [(k, json.dumps({"id": k, "title": f"ring {k} \U00020000x"})) for k in range(1, 30)] + [(40, None), (41, "{")])
+    c.close()
+    raw = sqlite.read(spark, str(db), parts=3)
+    assert raw.rdd.getNumPartitions() == 3 and raw.count() == 31
+    assert main([str(db), "--out-dir", str(tmp_path / "c"), "--clean", "--index-shard-count", "3", "--generated-at", "2026-02-01"]) == 0
+    m = json.loads((tmp_path / "c/manifest.json").read_text())
+    assert (m["generated_at"], m["shards"], m["stats"]["count"], m["stats"]["skipped"]) == ("2026-02-01", 3, 29, 29 + 29)
+    found = search(store.load(spark, str(tmp_path / "c")), Request(q="ring"))
+    assert found.first().total == 29
+    with pytest.raises(sqlite3.OperationalError):
+        sqlite.read(spark, str(tmp_path / "none.sqlite"))
 
 
 def test_empty_and_clashing(spark):
@@ -153,6 +247,10 @@ def test_can_read(spark):
     docs = [(k, f'{{"id":{k},"canRead":{v},"is_need_login":1}}') for k, v in enumerate(("true", '" YES "', '"n"', "0", "null", '"?"', "1.5"))]
     got = json_documents.parse(spark.createDataFrame(docs, "id long, json string")).orderBy("id").collect()
     assert [r.need_login for r in got] == [False, False, True, True, True, True, False]
+    wide = spark.createDataFrame([(1, '{"id":1,"authors":[{"tag_id":70000,"tag_name":""}]}')], "id long, json string")
+    assert json_documents.parse(wide).first().authors == []
+    with pytest.raises(Exception, match="not within 0 and 65535"):
+        json_documents.parse(wide, largest_author=65535).collect()
     broken = json_documents.parse(spark.createDataFrame([(1, "{"), (2, None), (3, '{"id":true}')], "id long, json string"))
     assert sorted((r.src_id, r.id) for r in broken.collect() if r.id is not None) == [(3, 1)]
 
@@ -160,8 +258,9 @@ def test_can_read(spark):
 def test_refresh(spark, tmp_path):
     from lexiquarry.streaming.refresh import refresh
 
-    source = str(tmp_path / "in")
-    spark.createDataFrame([(1, '{"id":1,"title":"red ring"}'), (2, '{"id":2,"title":"bolt"}')], "id long, json string").write.parquet(source)
-    stream = spark.readStream.schema("id long, json string").parquet(source)
-    refresh(stream, str(tmp_path / "raw"), str(tmp_path / "c"), str(tmp_path / "ck")).awaitTermination()
-    assert [r.id for r in search(store.load(spark, str(tmp_path / "c")), Request(q="ring")).collect()] == [1]
+    source, folder = str(tmp_path / "in"), str(tmp_path / "c")
+    for rows, want in (([(1, "red ring"), (2, "bolt")], [1]), ([(2, "ring bolt"), (3, "a ring")], [3, 2, 1])):
+        spark.createDataFrame([(k, json.dumps({"id": k, "title": t})) for k, t in rows], "id long, json string").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("id long, json string").parquet(source)
+        refresh(stream, str(tmp_path / "state"), folder, str(tmp_path / "ck")).awaitTermination()
+        assert [r.id for r in search(store.load(spark, folder), Request(q="ring", sort="id_desc")).orderBy("rank").collect()] == want
