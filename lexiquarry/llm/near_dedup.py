@@ -177,7 +177,9 @@ def meetings(member: DataFrame, percent: int = 75, block: int = BLOCK) -> DataFr
     spans = member.groupBy("token").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / block).cast("int").alias("parts")
     )
-    dealt = member.join(spans.where("lo < hi").select("token", "parts"), "token").withColumn(
+    # As a table, so that the join of two shuffled sides can be split at a hot token.
+    spans = materialize(spans.where("lo < hi").select("token", "parts"), "spans")
+    dealt = member.join(spans, "token").withColumn(
         "part", F.pmod(F.xxhash64("rep", "token"), F.col("parts")).cast("int")
     )
     held = ("rep", "n", "place", "component")
