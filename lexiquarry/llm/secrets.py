@@ -7,6 +7,8 @@ code points, and long texts need no Python.
 The model: one first-order Markov chain over characters is fitted to random strings, one to ordinary
 identifiers; a candidate is a secret if the log-likelihood ratio of the two, per transition, reaches a
 threshold. Weights are integers (thousandths of a nat), so scores don't depend on the order of addition.
+Candidates are whole runs of the alphabet's characters, however long, and of a run that meets base spans the
+pieces beside them, each of at least LEAST characters and with a letter.
 
 Defined results: a null text is empty. An empty table gives an empty table. Every row is judged by itself,
 so repeated rows and ties give repeated results. Other columns are ignored, whatever their names.
@@ -25,8 +27,8 @@ from .exprs import let, starts
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Runs longer than 512 are judged in pieces, which bounds the work on one candidate.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,512}"
+LEAST = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -128,8 +130,11 @@ def train(samples: DataFrame, alphabet: str = ALPHABET, smoothing: float = 0.5,
     return MarkovRatio(alphabet, weights, threshold)
 
 
-def _spans(text: Column, matches: Column, pattern: str, kind: int, keep) -> Column:
-    """Structs (start, kind, end) of the matches for which keep(match, index) holds."""
+NO_SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def _spans(text: Column, matches: Column, pattern: str, kind: int, keep=None) -> Column:
+    """Structs (start, kind, end) of the matches, of those only for which keep(index) holds, if given."""
     located = let(
         F.zip_with(F.split(text, pattern, -1), matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m"))),
         lambda parts: let(
@@ -144,15 +149,32 @@ def _spans(text: Column, matches: Column, pattern: str, kind: int, keep) -> Colu
             ),
         ),
     )
-    return F.when(F.size(matches) > 0, let(located, lambda s: F.filter(s, lambda x, i: keep(matches[i], i)))).otherwise(
-        F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    if keep:
+        whole = located
+        located = let(whole, lambda s: F.filter(s, lambda x, i: keep(i)))
+    return F.when(F.size(matches) > 0, located).otherwise(F.array().cast(NO_SPANS))
+
+
+def _beside(run: Column, base: Column) -> Column:
+    """The pieces of a span that no base span covers, in order; base spans are in order of their starts."""
+    met = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    piece = lambda a, z: F.struct(a.alias("start"), run["kind"].alias("kind"), z.alias("end"))
+    walked = F.aggregate(
+        met,
+        F.struct(F.array().cast(NO_SPANS).alias("out"), run["start"].alias("at")),
+        lambda a, b: F.struct(
+            F.when(b["start"] > a["at"], F.concat(a["out"], F.array(piece(a["at"], b["start"])))).otherwise(a["out"]).alias("out"),
+            F.greatest(a["at"], b["end"]).alias("at"),
+        ),
+        lambda a: F.when(a["at"] < run["end"], F.concat(a["out"], F.array(piece(a["at"], run["end"])))).otherwise(a["out"]),
     )
+    return F.when(F.size(met) > 0, walked).otherwise(F.array(run))
 
 
 def find_secrets(docs: DataFrame, model: MarkovRatio, text: str = "text") -> DataFrame:
     """docs with `spans`, structs (start, kind, end) of base and model spans in order, and `base_spans`.
 
-    A model span is added only where it overlaps no base span. Columns of docs stay as they are.
+    Model spans overlap no base span. Columns of docs stay as they are.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     found = docs.select(
@@ -164,21 +186,20 @@ def find_secrets(docs: DataFrame, model: MarkovRatio, text: str = "text") -> Dat
         F.regexp_extract_all(body, F.lit(HEX), F.lit(0)).alias("hex"),
         F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)).alias("candidate"),
     )
-    always = lambda m, i: F.lit(True)
-    judged = lambda m, i: m.rlike("[A-Za-z]") & model.is_random(m)
     base = F.array_sort(
         F.concat(
-            _spans(F.col("body"), F.col("assign"), ASSIGN, 0, lambda m, i: F.length(F.col("value")[i]) >= 6),
-            _spans(F.col("body"), F.col("access"), ACCESS, 1, always),
-            _spans(F.col("body"), F.col("hex"), HEX, 2, always),
+            _spans(F.col("body"), F.col("assign"), ASSIGN, 0, lambda i: F.length(F.col("value")[i]) >= 6),
+            _spans(F.col("body"), F.col("access"), ACCESS, 1),
+            _spans(F.col("body"), F.col("hex"), HEX, 2),
         )
     )
-    spans = found.select(
-        "row", base.alias("base_spans"), _spans(F.col("body"), F.col("candidate"), CANDIDATE, 3, judged).alias("extra")
-    )
-    added = F.filter(
-        "extra", lambda x: ~F.exists("base_spans", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    )
+    runs = _spans(F.col("body"), F.col("candidate"), CANDIDATE, 3)
+    located = found.select("row", "body", base.alias("base_spans"), runs.alias("runs"))
+    pieces = F.when(F.size("runs") > 0, F.flatten(F.transform("runs", lambda r: _beside(r, F.col("base_spans"))))).otherwise(F.col("runs"))
+    spans = located.select("row", "body", "base_spans", pieces.alias("pieces"))
+    of = lambda x: F.substring(F.col("body"), x["start"] + 1, x["end"] - x["start"])
+    random = lambda m: (F.length(m) >= LEAST) & m.rlike("[A-Za-z]") & model.is_random(m)
+    added = F.when(F.size("pieces") > 0, F.filter("pieces", lambda x: let(of(x), random))).otherwise(F.col("pieces"))
     return spans.select("row", "base_spans", F.array_sort(F.concat("base_spans", added)).alias("spans"))
 
 
