@@ -6,10 +6,13 @@ end mark.
 
     <|im_start|>system\\n...<|im_end|>\\n<|im_start|>user name=NAME\\n...<|im_end|>\\n<|im_start|>assistant\\n...<|im_end|>\\n
 
-Everything is DataFrame expressions. `dialogues` takes the participants of the whole dialogue and renders every
-part for each of them; a part is 512 turns by position, and a speaker's parts in order make up the whole rendering
-(masks count from the part's start; who is silent in a part has an empty mask there). `perspectives` groups by
-(conv_id, turn div 512) alone and renders a part only for those who speak in it.
+Everything is DataFrame expressions. A rendering comes in parts of 512 turns by position, in rows of their own, so
+that a dialogue of any length meets in no task; a speaker's parts in order make up the whole rendering, of the whole
+dialogue for everyone who speaks anywhere in it. Masks count from the part's start; who is silent in a part has an
+empty mask there.
+
+A text can't forge a turn: in texts and names every "<", backslashes, "|" gets one backslash more, which unescaped()
+takes away again, and in names a line end is written as a backslash and n, a backslash as two.
 
 Defined results: a null role speaks as "unknown", a null text is empty, null turns form a part of their own
 (-1). Turns with equal numbers are ordered by role, then text; repeated equal rows count once. A null conv_id
@@ -28,27 +31,24 @@ START, END = "<|im_start|>", "<|im_end|>"
 PART = 512
 
 
-def _header(role: Column, speaker: Column) -> Column:
-    name = F.when(role == "system", "system").when(role == speaker, "assistant").otherwise(F.concat(F.lit("user name="), role))
-    return F.concat(F.lit(START), name, F.lit("\n"))
+def escaped(text: Column) -> Column:
+    """text in which no mark of the format occurs."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
 
 
-def perspectives(turns: DataFrame, part: int = PART) -> DataFrame:
-    """conv_id, part, speaker, n_turns, rendered, mask (start:end in code points, comma-joined), n_masked, n_chars."""
-    rows = turns.select(
-        "conv_id",
-        F.coalesce(F.floor(F.col("turn") / part).cast("long"), F.lit(-1).cast("long")).alias("part"),
-        F.struct(
-            "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-        ).alias("t"),
-    )
-    grouped = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_set("t")).alias("ts"))
-    roles = F.array_distinct(F.filter(F.transform("ts", lambda t: t["role"]), lambda r: r != "system"))
-    return _rendered(grouped.select("conv_id", "part", "ts", F.explode(roles).alias("speaker")))
+def unescaped(text: Column) -> Column:
+    """What escaped() was given."""
+    return F.regexp_replace(text, r"<(\\*)\\\|", "<$1|")
+
+
+def _header(role: Column, speaker: Column) -> Column:
+    one_line = F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    name = F.when(role == "system", "system").when(role == speaker, "assistant").otherwise(F.concat(F.lit("user name="), escaped(one_line)))
+    return F.concat(F.lit(START), name, F.lit("\n"))
 
 
 def dialogues(turns: DataFrame, part: int = PART) -> DataFrame:
-    """As perspectives, with every part of a dialogue for all who speak anywhere in it, cut by position.
+    """conv_id, part, speaker, n_turns, rendered, mask (start:end in code points, comma-joined), n_masked, n_chars.
 
     Positions come from counts by range of turn numbers and the order within a range, so that a long dialogue is
     not ordered in one task.
@@ -77,7 +77,7 @@ def _rendered(seen: DataFrame) -> DataFrame:
         "ts",
         lambda t: F.struct(
             _header(t["role"], F.col("speaker")).alias("head"),
-            F.concat(t["text"], F.lit(END)).alias("body"),
+            F.concat(escaped(t["text"]), F.lit(END)).alias("body"),
             (t["role"] == F.col("speaker")).alias("own"),
         ),
     )
@@ -112,23 +112,28 @@ def _rendered(seen: DataFrame) -> DataFrame:
     ).withColumn("n_chars", F.length("rendered").cast("long"))
 
 
+_ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
+_NAME = r"replace(replace(role, '\', '\\'), chr(10), '\n')"
+
 ORACLE = f"""
-WITH t AS (
-  SELECT DISTINCT conv_id, coalesce(turn // {PART}, -1) AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
-  FROM conversations),
+WITH d AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+t AS (
+  SELECT *, CASE WHEN turn IS NULL THEN -1
+    ELSE (row_number() OVER (PARTITION BY conv_id, turn IS NULL ORDER BY turn, role, text) - 1) // {PART} END AS part FROM d),
 r AS (
   SELECT t.*, s.speaker,
-    '{START}' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head,
-    text || '{END}' AS body
-  FROM t JOIN (SELECT DISTINCT conv_id, part, role AS speaker FROM t WHERE role <> 'system') s
-    ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.part = t.part),
+    '{START}' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant'
+      ELSE 'user name=' || {_ESCAPED.format(_NAME)} END || chr(10) AS head,
+    {_ESCAPED.format("text")} || '{END}' AS body
+  FROM t JOIN (SELECT DISTINCT conv_id, role AS speaker FROM d WHERE role <> 'system') s ON s.conv_id IS NOT DISTINCT FROM t.conv_id),
 p AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
     PARTITION BY conv_id, part, speaker ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
   FROM r)
 SELECT conv_id, part, speaker, count(*) AS n_turns,
   string_agg(head || body || chr(10), '' ORDER BY pos) AS rendered,
-  string_agg((pos + length(head)) || ':' || (pos + length(head) + length(body)), ',' ORDER BY pos) FILTER (WHERE role = speaker) AS mask,
+  coalesce(string_agg((pos + length(head)) || ':' || (pos + length(head) + length(body)), ',' ORDER BY pos) FILTER (WHERE role = speaker), '') AS mask,
   coalesce(sum(length(body)) FILTER (WHERE role = speaker), 0)::BIGINT AS n_masked,
   sum(length(head) + length(body) + 1)::BIGINT AS n_chars
 FROM p GROUP BY conv_id, part, speaker"""
