@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells (source, language, topic). The cells' token totals are raked: in turn for each of
-the three, cells are scaled so that its marginal meets its target shares, and that several times over. A
-document is then sampled with a probability in proportion to its cell's scale, at most 1: no document is taken
+the three, cells are scaled so that its marginal meets its target shares, and that several times over;
+marginal_error() says how far any marginal still is from its target. A document is then sampled with a probability in proportion to its cell's scale, at most 1: no document is taken
 twice. The factor is such that a share `keep` of all tokens is expected; sampled tokens then meet the raked
 shares, but for cells that have too little. The draw is a digest of the doc_id: it is the same in every run
 and on any partitioning.
@@ -83,18 +83,33 @@ def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     for _ in range(rounds):
         for d in DIMENSIONS:
             now = now.withColumn("weight", F.col("weight") * F.col(f"__{d}") / F.sum("weight").over(Window.partitionBy(d)))
-    return materialize(now.select(*DIMENSIONS, "tokens", "weight"), "raked")
+    return materialize(now.select(*DIMENSIONS, "tokens", "weight", *[f"__{d}" for d in DIMENSIONS]), "raked")
+
+
+def marginal_error(cells: DataFrame) -> float:
+    """Of raked() cells, the largest difference between a category's share of weight and its target; 0 without cells."""
+    total = cells.agg(F.sum("weight")).first()[0] or 1.0
+    worst = [
+        cells.groupBy(d).agg(F.abs(F.sum("weight") / total - F.first(f"__{d}")).alias("off")).agg(F.max("off")).first()[0] for d in DIMENSIONS
+    ]
+    return max(w or 0.0 for w in worst)
 
 
 def factor(weights: DataFrame, keep: float) -> float:
-    """The f for which the tokens of min(1, f * weight / tokens) sum up to keep times all tokens."""
+    """The f for which the tokens of min(1, f * weight / tokens) sum up to keep times all tokens, for keep from 0
+    (f is 0: nothing is sampled) to 1 (everything is)."""
+    if not 0 <= keep <= 1:
+        raise ValueError(f"keep is a share from 0 to 1, not {keep}")
+    if keep in (0, 1):
+        return 0.0 if keep == 0 else float("inf")
     scale = F.col("weight") / F.col("tokens")
     order = Window.orderBy(scale.desc(), *DIMENSIONS)
     full = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     open_ = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     goal = keep * F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     each = weights.select(F.row_number().over(order).alias("rank"), scale.alias("scale"), ((goal - full) / open_).alias("f"))
-    return each.where("f * scale <= 1").agg(F.min_by("f", "rank")).first()[0] or float("inf")
+    found = each.where("f * scale <= 1").agg(F.min_by("f", "rank")).first()[0]
+    return float("inf") if found is None else found
 
 
 def with_probability(
