@@ -1,11 +1,13 @@
 """BPE encoding by forced-boundary splitting, and decoding.
 
-A pair of adjacent bytes that occurs inside no token of the vocabulary can't be joined by any merge, so a
-text may be cut there for certain. Of those cuts, the ones between a byte that isn't white space and ASCII
-white space also leave the pre-tokenizer's pieces as they are: every alternative of its pattern takes white
-space only at its front. The fragments between such cuts are encoded independently of each other, each
-distinct one once per worker while it stays in a bounded memo, and their ids are concatenated. Added
-tokens found in a text, such as an end-of-text mark, are split off first and stand for themselves.
+A pair of adjacent bytes that occurs inside no token of the vocabulary can't be joined by any merge, so a text may
+be cut there for certain. That is done twice. First, a text is cut at the forced boundaries between a byte that isn't
+white space and ASCII white space; these leave the pre-tokenizer's pieces as they are, since every alternative of its
+pattern takes white space only at its front. The fragments are encoded once per worker while they stay in a memo of
+bounded bytes. A fragment that isn't in it is cut into the pre-tokenizer's pieces and at all forced boundaries inside
+these, and each of the small fragments is merged by itself, also once while it is in a memo; ids are concatenated.
+Fragments of characters on whose kind libraries may differ go to the tokenizer library as they are. Added tokens found
+in a text, such as an end-of-text mark, are split off first and stand for themselves.
 
 Defined results: a null or empty text has no ids and decodes to "". Rows are independent: repeated rows
 give repeated results, an empty table an empty one.
@@ -19,6 +21,7 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
+import regex
 
 SPACES = b" \t\n\v\f\r"
 #: White space beyond ASCII, and the separators 28 to 31, which libraries treat differently.
@@ -26,6 +29,8 @@ WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
 
 #: The byte-level pre-tokenizer's pattern, a fixed value of the format.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What a memo's entry takes beside its bytes, about.
+_EACH = 200
 #: Bytes of anything but ASCII without the separators 28 to 31, and characters from U+00C0 to U+023F.
 _UNCOMMON = re.compile(rb"[\x1c-\x1f\xc0-\xc2\xc9-\xff]").search
 
@@ -49,7 +54,7 @@ class ForcedBoundaryBPE:
 
     _loaded: dict[tuple[str, int], ForcedBoundaryBPE] = {}
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 128 << 20):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -81,13 +86,16 @@ class ForcedBoundaryBPE:
         # Where each (byte, space) of a text is a cut, a pattern finds the fragments faster than an array does.
         uncut = [a for a in range(256) if not space[a] and any(joined[a, b] for b in SPACES)]
         self._uncut = re.compile(b"[" + re.escape(bytes(uncut)) + b"][ \\t-\\r]") if uncut else None
-        self._length = np.array([len(t) for t in self.bytes_of])
-        self._fast = self._by_rank(spec, added)
+        self._merge = self._by_rank(spec, added)
+        self._pieces = regex.compile(PIECES)
+        self._forced = self.forced.ravel()
+        #: Ids of fragments, and of the small fragments inside them. `memo` bounds the bytes of each, about.
         self._memo: dict[bytes, bytes] = {}
-        self._most = memo
+        self._small: dict[bytes, bytes] = {}
+        self._held, self._held_small, self._most = 0, 0, memo
 
     def _by_rank(self, spec: dict, added: dict):
-        """An encoder by token rank, if the vocabulary numbers its tokens in the order of its merges; else none."""
+        """A merger of bytes by token rank, if the vocabulary numbers its tokens in the order of its merges; else none."""
         merges = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
         ids = [spec["model"]["vocab"].get(m.replace(" ", ""), -1) for m in merges]
         first = ids[0] if ids else 0
@@ -96,10 +104,10 @@ class ForcedBoundaryBPE:
         import tiktoken
 
         ranks = {self.bytes_of[i]: i for t, i in spec["model"]["vocab"].items() if t not in added}
-        return tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
     @classmethod
-    def load(cls, path: str, memo: int = 400_000) -> ForcedBoundaryBPE:
+    def load(cls, path: str, memo: int = 128 << 20) -> ForcedBoundaryBPE:
         key = (path, memo)
         if key not in cls._loaded:
             cls._loaded[key] = cls(path, memo)
@@ -124,12 +132,13 @@ class ForcedBoundaryBPE:
         """Have the memo hold the ids of all these fragments, as little-endian unsigned 32-bit integers."""
         memo = self._memo
         distinct = set(fragments)
-        missing = list(distinct.difference(memo))
-        if len(memo) + len(missing) > self._most:
+        if self._held > self._most:
             memo.clear()
-            missing = list(distinct)
+            self._held = 0
+        missing = list(distinct.difference(memo))
+        self._held += sum(map(len, missing)) + _EACH * len(missing)
         rest = missing
-        if self._fast:
+        if self._merge:
             common = [f for f in missing if f[0] < 33 and f[-1] > 32]  # led by white space, but not ending in it
             if _UNCOMMON(b"".join(common)):
                 common = [f for f in common if not _UNCOMMON(f)]
@@ -141,14 +150,38 @@ class ForcedBoundaryBPE:
             for f, e in zip(part, self._library.encode_batch_fast([f.decode() for f in part], add_special_tokens=False)):
                 memo[f] = np.array(e.ids, "<u4").tobytes()
 
+    def small_fragments(self, raw: bytes) -> tuple[list[bytes], np.ndarray]:
+        """raw cut into the pre-tokenizer's pieces and at every forced boundary inside them, and where they end."""
+        text = raw.decode()
+        pieces = self._pieces.findall(text)
+        if len(text) < len(raw):
+            pieces = map(str.encode, pieces)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64))
+        b = np.frombuffer(raw, np.uint8)
+        cut = self._forced[b[:-1].astype(np.int32) * 256 + b[1:]]
+        cut = np.append(cut, True)
+        cut[ends - 1] = True
+        ends = np.flatnonzero(cut) + 1
+        at = ends.tolist()
+        return [raw[a:z] for a, z in zip([0, *at], at)], ends
+
     def _encode_common(self, fragments: list[bytes]) -> None:
-        """Memoize fragments of letters on which all libraries agree, in one call. Each begins with white space
-        and ends without, so that their seams are forced boundaries too, and token lengths tell them apart."""
-        ids = self._fast.encode_to_numpy(b"".join(fragments).decode(), disallowed_special=()).astype("<u4")
-        ends = np.searchsorted(np.cumsum(self._length[ids]), np.cumsum([len(f) for f in fragments])) + 1
-        raw = ids.tobytes()
-        ends = (4 * ends).tolist()
-        self._memo.update(zip(fragments, [raw[a:z] for a, z in zip([0, *ends], ends)]))
+        """Memoize fragments of characters on which all libraries agree. Each begins with white space and ends without,
+        so that their seams are forced boundaries too, and all can be cut together."""
+        parts, ends = self.small_fragments(b"".join(fragments))
+        small = self._small
+        if self._held_small > self._most:
+            small.clear()
+            self._held_small = 0
+        new = set(parts).difference(small)
+        self._held_small += sum(map(len, new)) + _EACH * len(new)
+        for p in new:
+            small[p] = np.array(self._merge(p), "<u4").tobytes()
+        found = list(map(small.__getitem__, parts))
+        ids = b"".join(found)
+        upto = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        last = upto[np.searchsorted(ends, np.cumsum(np.fromiter(map(len, fragments), np.int64, len(fragments))))].tolist()
+        self._memo.update(zip(fragments, [ids[a:z] for a, z in zip([0, *last], last)]))
 
     def encode(self, text: str | None) -> bytes:
         """The ids of text as little-endian unsigned 32-bit integers."""
@@ -182,6 +215,19 @@ class ForcedBoundaryBPE:
 _FRAGMENT = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 
 
+def slices(batch, at: int, rows: int = 512, size: int = 8 << 20):
+    """batch in slices of some rows whose texts (column `at`) take about `size` bytes at most, or one row."""
+    import pyarrow.compute as pc
+
+    taken = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < batch.num_rows:
+        before = taken[lo - 1] if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(taken, before + size, "right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def one_thread() -> None:
     """Let the tokenizer library use the task's own core only."""
     import os
@@ -209,8 +255,7 @@ def encoded(docs, vocabulary: str, column: str = "text", ids: str = "ids", decod
         bpe = ForcedBoundaryBPE.load(vocabulary)
         for batch in batches:
             at = batch.schema.get_field_index(column)
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in slices(batch, at):
                 found = bpe.encode_all(part.column(at).to_pylist())
                 columns = [*part.columns, pa.array(found, pa.binary())]
                 if decoded:

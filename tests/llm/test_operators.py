@@ -376,7 +376,7 @@ def test_bpe(spark, docs):
         ids = library.encode(t or "", add_special_tokens=False).ids
         assert got[k].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest() and got[k].n_tokens == len(ids)
         assert got[k].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
-    own, r = bpe.ForcedBoundaryBPE(bpe.default_vocabulary(), memo=50), random.Random(1)
+    own, r = bpe.ForcedBoundaryBPE(bpe.default_vocabulary(), memo=5000), random.Random(1)
     pieces = list("ab Z09é漢😀\n\t\r\x0b\x0c\x1c\x85\xa0　​﻿'sdt.,!-_  à ") + ["<|endoftext|>", "'ll", " the"]
     for _ in range(3000):
         s = "".join(r.choice(pieces) for _ in range(r.randint(0, 24)))
@@ -385,6 +385,30 @@ def test_bpe(spark, docs):
         assert b"".join(own.fragments(s)) == s.encode()
 
 
+def test_bpe_small_fragments(spark):
+    """All forced boundaries are cuts, those cuts alone carry the merges, and a long text without white space is
+    bounded by the memo's bytes."""
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(bpe.default_vocabulary()), bpe.ForcedBoundaryBPE(bpe.default_vocabulary(), memo=1 << 16)
+    joined = {(a, b) for t in own.bytes_of for a, b in zip(t, t[1:])}
+    r, cuts = random.Random(3), 0
+    for _ in range(200):
+        raw = (" " + "".join(r.choice("abcdeXYZ0189.,;(){}'\"#qzvwj-_éß") for _ in range(r.randint(1, 60)))).encode()
+        parts, ends = own.small_fragments(raw)
+        assert b"".join(parts) == raw and ends.tolist() == np.cumsum([len(p) for p in parts]).tolist()
+        assert all((a, b) in joined for p in parts for a, b in zip(p, p[1:])), parts
+        ids = [i for p in parts for i in own._merge(p)]
+        assert ids == library.encode(raw.decode(), add_special_tokens=False).ids
+        cuts += len(parts)
+    assert cuts > 2000
+    for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        assert np.frombuffer(own.encode(x.text), "<u4").tolist() == library.encode(x.text, add_special_tokens=False).ids
+        assert own._held < (1 << 16) + 300 * len(x.text) and own._held_small < (1 << 16) + 300 * len(x.text)
+    long = "".join(r.choice("qzxjkvw0123456789") for _ in range(2_000_000))
+    assert np.frombuffer(own.encode(long), "<u4").tolist() == library.encode(long, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("bits", [1, 8])
 def test_token_files(spark, docs, bits, tmp_path):
     from tokenizers import Tokenizer
