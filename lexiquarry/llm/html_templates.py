@@ -1,10 +1,11 @@
 """Main text of web pages by site template removal.
 
 Every element subtree of a page is hashed (tag, text and children). Spark counts in how many different pages
-of a host each hash occurs; subtrees that recur across many of them are the site's template and are deleted.
-What HTML itself marks as not part of the article (navigation, headers, footers, asides, forms, scripts,
-adverts, notices, reader comments) goes as well, and if the page has an <article> or <main>, only that stays.
-Inside it, running text (paragraphs, headings, list items and the like) is never taken for template: short
+of a host each hash occurs; subtrees that recur across many of them are the site's template and are deleted,
+wherever they stand. Only of what is left, the article is taken: what HTML itself marks as not part of it
+(navigation, headers, footers, asides, forms, scripts, adverts, notices, reader comments) goes as well, for what
+differs from page to page can't be found by counting, and if an <article> or <main> has text left, only that stays.
+Inside these, running text (paragraphs, headings, list items and the like) is never taken for template: short
 paragraphs and articles published twice recur too.
 
 Defined results: null or empty html gives an empty text. Pages with the same url host form a site; a page
@@ -66,7 +67,7 @@ class Node:
     parts: list[str] = field(default_factory=list)
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
+def parse(page: str, labels: frozenset[str] | set[str] = LABELS) -> tuple[list[Node], list[tuple[int, str]]]:
     """Elements, with digests of their subtrees, and blocks of text as (element, text)."""
     nodes = [Node("", -1, False, False)]
     open_nodes, open_tags, blocks, run = [0], Counter(), [], []
@@ -117,8 +118,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if nodes[open_nodes[-1]].tag == "p" or tag in CLOSES_SELF and nodes[open_nodes[-1]].tag == tag:
                     close()
                 over = nodes[open_nodes[-1]]
-                labels = re.split(r"[^a-z0-9]+", " ".join(x for y in ATTRIBUTE.findall(m[3]) for x in y).lower()) if m[3] else ()
-                dropped = over.dropped or tag in DROPPED or tag == "header" and not over.inside or not LABELS.isdisjoint(labels)
+                names = re.split(r"[^a-z0-9]+", " ".join(x for y in ATTRIBUTE.findall(m[3]) for x in y).lower()) if m[3] else ()
+                dropped = over.dropped or tag in DROPPED or tag == "header" and not over.inside or not labels.isdisjoint(names)
                 if tag in ("html", "body"):
                     dropped = False
                 nodes.append(Node(tag, open_nodes[-1], dropped, over.inside or tag in ROOTS))
@@ -132,29 +133,44 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, blocks
 
 
+def protected(x: Node) -> bool:
+    """Running text of an article, and the document itself, are no template."""
+    return x.tag in PROSE and x.inside or x.tag in ("html", "body", "")
+
+
 def template_candidates(page: str) -> list[int]:
     """Digests of the subtrees that may be template, each once."""
     nodes, _ = parse(page)
-    rooted = any(x.inside and x.parts and not x.dropped for x in nodes)
-    return list({x.digest for x in nodes[1:] if x.digest and not (x.tag in PROSE and (x.inside or not rooted and x.tag in ("body", "html")))})
+    return list({x.digest for x in nodes if x.digest and not protected(x)})
 
 
-def main_text(page: str, template=()) -> str:
+def main_text(page: str, template=(), labels: frozenset[str] | set[str] = LABELS) -> str:
     """The text of page without template subtrees, blocks joined by line ends."""
-    nodes, blocks = parse(page)
+    nodes, blocks = parse(page, labels)
     gone = [False] * len(nodes)
     for k, x in enumerate(nodes):
-        protected = x.tag in PROSE and x.inside
-        gone[k] = x.dropped or (k > 0 and gone[x.parent]) or (x.digest in template and not protected and k > 0)
+        gone[k] = x.dropped or (k > 0 and gone[x.parent]) or (x.digest in template and not protected(x))
     inside = [text for k, text in blocks if nodes[k].inside and not gone[k]]
     return "\n".join(inside or [text for k, text in blocks if not gone[k]])
 
 
-def extract(pages: DataFrame, least_pages: int = 10, least_share: float = 0.02, broadcast_rows: int = 50_000) -> DataFrame:
+def templates(trees: DataFrame, least_pages: int = 10, fewest: int = 3) -> DataFrame:
+    """(host, subtree) of what is template, of trees (host, page, subtree), where a page's row without subtree counts
+    the page: subtrees in least_pages different pages of a host or more, and on a host of less than twice as many
+    pages those in half of its pages, in `fewest` at least. The bar doesn't grow with a host beyond that."""
+    counts = trees.where("subtree is not null").groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= fewest)
+    sites = trees.where("subtree is null").groupBy("host").agg(F.count("*").alias("pages"))
+    bar = F.least(F.lit(least_pages), F.greatest(F.lit(fewest), F.ceil(F.col("pages") / 2)))
+    return counts.join(sites, "host").where(F.col("n") >= bar).select("host", "subtree")
+
+
+def extract(
+    pages: DataFrame, least_pages: int = 10, fewest: int = 3, broadcast_rows: int = 50_000, labels: frozenset[str] | set[str] = LABELS
+) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    A subtree is template if it occurs in at least least_pages different pages of the host and in at least
-    least_share of them. Up to broadcast_rows template subtrees are sent to every task; more are joined.
+    What is template, see templates(). Up to broadcast_rows template subtrees are sent to every task; more are joined,
+    with the same result. labels: words of class, id and role that name no part of an article.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
@@ -166,19 +182,17 @@ def extract(pages: DataFrame, least_pages: int = 10, least_share: float = 0.02,
         for pdf in batches:
             yield pd.DataFrame({"host": pdf["host"], "page": pdf["page"], "subtree": [template_candidates(x) for x in pdf["html"]]})
 
-    trees = rows.select("host", "page", "html").mapInPandas(hashed, "host string, page long, subtree array<long>")
-    trees = trees.select("host", "page", F.explode("subtree").alias("subtree")).distinct()
-    counts = trees.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    sites = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    common = counts.join(sites, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "subtree")
-    common = materialize(common, "templates")
+    found = rows.select("host", "page", "html").mapInPandas(hashed, "host string, page long, subtree array<long>")
+    # Copies of a page are one; the null counts the page itself.
+    trees = found.select("host", "page", F.explode(F.concat("subtree", F.array(F.lit(None).cast("long")))).alias("subtree")).distinct()
+    common = materialize(templates(trees, least_pages, fewest), "templates")
 
     def cleaned(template_of):
         def run(batches: Iterator):
             import pandas as pd
 
             for pdf in batches:
-                texts = [main_text(x, t) for x, t in zip(pdf["html"], template_of(pdf))]
+                texts = [main_text(x, t, labels) for x, t in zip(pdf["html"], template_of(pdf))]
                 yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(x) for x in texts]})
 
         return run

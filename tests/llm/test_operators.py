@@ -557,6 +557,70 @@ def test_html(spark):
     assert html_templates.main_text("<div>" * deep + "in</p></div> out" + "</div>" * deep) == "in\nout"
 
 
+def site(host: str, n: int, sections: int = 1, seed: int = 0) -> list[tuple[str, str]]:
+    """Pages without <article>, <nav> or telling class names: menus, a section's menu, a notice and a footer of the
+    site as plain divs around a text of the page's own, and one box that differs from page to page."""
+    r = random.Random(f"{host}{seed}")
+    words = lambda k: " ".join(r.choice("stone ring water night and the of in".split()) + str(r.randrange(50)) for _ in range(k))
+    menu, foot = f"<div><ul><li>Home {host}</li><li>All of it</li></ul></div>", f"<div><p>Made by {host}</p><p>Since ever</p></div>"
+    local = [f"<div><ul><li>Part {k} {words(3)}</li></ul></div>" for k in range(sections)]
+    notice = "<div><div><p>We value your time</p></div></div>"
+    return [
+        (f"https://{host}/{k}", f"<html><body>{menu}{local[k % sections]}<div><h1>{words(4)} {k}</h1><p>{words(12)}</p><div><p>{words(9)}</p>{notice}</div></div>{foot}</body></html>")
+        for k in range(n)
+    ]
+
+
+def template_model(pages: list[tuple[str, str]], least: int = 10, fewest: int = 3) -> list[str]:
+    """Subtrees written out as text, counted by host over different pages, deleted; on well-formed pages."""
+    import xml.etree.ElementTree as ET
+
+    roots = [ET.fromstring(html) for _, html in pages]
+    hosts = [url.split("/")[2] for url, _ in pages]
+    text = lambda e: ET.tostring(e, encoding="unicode")
+    seen = defaultdict(set)
+    for host, root, (_, html) in zip(hosts, roots, pages):
+        for e in root.iter():
+            if e.tag not in ("html", "body"):
+                seen[host, text(e)].add(html)
+    size = {h: len({html for g, (_, html) in zip(hosts, pages) if g == h}) for h in set(hosts)}
+    bar = {h: min(least, max(fewest, -(-n // 2))) for h, n in size.items()}
+
+    def blocks(e, host):
+        if e.tag not in ("html", "body") and len(seen[host, text(e)]) >= bar[host]:
+            return []
+        return ([" ".join(e.text.split())] if e.text and e.text.strip() else []) + [x for c in e for x in blocks(c, host)]
+
+    return ["\n".join(blocks(root, host)) for host, root in zip(hosts, roots)]
+
+
+def test_html_templates_carry_the_result(spark):
+    """Without article, tag or class to go by, counting alone finds the text; on small and large hosts, with a section
+    menu on a small share of a large host, and with mirrored pages."""
+    pages = site("two.example", 2) + site("four.example", 4) + site("nine.example", 9, 3) + site("large.example", 1200, 60) + site("big.example", 30)
+    pages += site("big.example", 30)[:7]  # copies count once
+    want = template_model(pages)
+    table = spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "page_id long, url string, html string").repartition(4)
+    for given in ({}, {"labels": frozenset()}, {"broadcast_rows": 0}):  # the list of labels has no part in it
+        got = {r.page_id: r.text for r in html_templates.extract(table, **given).collect()}
+        assert got == dict(enumerate(want))
+    plain = [html_templates.main_text(html) for _, html in pages]
+    changed = Counter(url.split("/")[2] for (url, _), a, b in zip(pages, plain, want) if a != b)
+    assert changed == {"four.example": 4, "nine.example": 9, "large.example": 1200, "big.example": 37}
+    for url, text in zip((u for u, _ in pages), want):
+        if "large" in url or "big" in url:
+            assert text.count("\n") == 2 and not re.search("Home|Part|Since|value", text)
+
+
+def test_html_templates_inside_an_article(spark):
+    """A template goes from inside an article too, before the article is chosen; its paragraphs stay."""
+    tools = "<div>Print <b>this</b></div>"
+    rows = [(k, f"https://h.example/{k}", f"<body><article>{tools}</article><div>Own {k}</div><div>Same</div></body>") for k in range(12)]
+    rows += [(k, f"https://g.example/{k}", f"<body><main>{tools}<p>Same words</p><p>{k}</p></main></body>") for k in range(12, 24)]
+    got = {r.page_id: r.text for r in html_templates.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Own {k}" if k < 12 else f"Same words\n{k}" for k in range(24)}
+
+
 def test_mixing(spark):
     rows = [(k, "word " * (10 + k % 7), "en" if k % 3 else "de", "big" if k % 4 else "small", 0) for k in range(4000)]
     table = spark.createDataFrame(rows + [(None, None, None, None, None), (1, "", "en", "big", 0)], DOCS)
