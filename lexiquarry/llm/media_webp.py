@@ -2,12 +2,15 @@
 
 decode() reads the container and the whole lossless bitstream: prefix codes (simple and normal, also by
 meta blocks), back-references, colour cache, and the predictor, cross-colour, subtract-green and palette
-transforms, and gives an array of 8-bit samples. Where all codes of an image have equal lengths and there
-are neither references nor a cache, pixels are a fixed number of bits and are unpacked as arrays; any other
-stream is read symbol by symbol.
+transforms, and gives an array of 8-bit samples. An image of one group of codes without a cache is read by arrays:
+the code word at every bit of a stretch of the stream is looked up at once, the words that count are found by
+following the chain of their ends, and literals and back-references are then put in place. Other images are read
+symbol by symbol.
 
-encode() writes such fixed-width codes (each channel as wide as its distinct values need) on request after
-subtract-green or predictor transforms. It trades size for speed: a payload of prose shrinks by an eighth.
+encode_indexed(), which payloads go through, writes one byte to a pixel: a palette of the bytes that occur (up to 16
+of them: several pixels in one), back-references to earlier equal stretches, and prefix codes fitted to what is
+left. encode() writes RGB or RGBA samples with codes of one width, on request after subtract-green, cross-colour or
+predictor transforms. Text gains nothing from these or a colour cache: payload files have none of them.
 
 Defined results: a null text is an empty payload, padded like any other to one block. Equal payloads give
 equal files and features. Rows are independent. A file that isn't lossless WebP raises ValueError.
@@ -19,6 +22,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -76,39 +80,40 @@ class Bits:
         return v
 
 
+@lru_cache(64)
+def _reversal(width: int) -> np.ndarray:
+    """Of every number of `width` bits the number with its bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(width):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
+
+
 class Code:
     """A canonical prefix code, read through a table over as many bits as its longest word."""
 
-    def __init__(self, lengths: list[int]):
-        self.lengths = lengths
-        used = [s for s, n in enumerate(lengths) if n]
-        if not used:
-            used, lengths = [0], [1]
-        if len(used) == 1:
-            self.width, self.table, self.only = 0, [(used[0], 0)], used
-            return
-        self.only = None
-        self.width = max(lengths)
-        table: list[tuple[int, int] | None] = [None] * (1 << self.width)
-        word = 0
-        for n in range(1, self.width + 1):
-            word <<= 1
-            for s in used:
-                if lengths[s] == n:
-                    if word >> n:
-                        raise ValueError("a prefix code has too many words")
-                    first = int(format(word, f"0{n}b")[::-1], 2)
-                    for k in range(first, 1 << self.width, 1 << n):
-                        table[k] = (s, n)
-                    word += 1
-        if word != 1 << self.width:
-            raise ValueError("a prefix code is incomplete")
-        self.table = table
+    def __init__(self, lengths: tuple[int, ...]):
+        self.lengths = np.array(lengths, np.int64)
+        used = np.flatnonzero(self.lengths)
+        if len(used) < 2:
+            self.only = int(used[0]) if len(used) else 0
+            self.width, self.symbols, self.sizes = 0, np.array([self.only]), np.zeros(1, np.int64)
+        else:
+            self.only, self.width = None, int(self.lengths.max())
+            used = used[np.argsort(self.lengths[used], kind="stable")]
+            spans = 1 << (self.width - self.lengths[used])
+            if (total := int(spans.sum())) != 1 << self.width:
+                raise ValueError("a prefix code " + ("is incomplete" if total < 1 << self.width else "has too many words"))
+            turned = _reversal(self.width)
+            self.symbols, self.sizes = np.repeat(used, spans)[turned], np.repeat(self.lengths[used], spans)[turned]
+        self._pairs: list[tuple[int, int]] | None = None
 
     def read(self, bits: Bits) -> int:
+        if self._pairs is None:
+            self._pairs = list(zip(self.symbols.tolist(), self.sizes.tolist()))
         if bits.n < self.width:
             bits.fill()
-        s, n = self.table[bits.held & ((1 << self.width) - 1)]
+        s, n = self._pairs[bits.held & ((1 << self.width) - 1)]
         if n > bits.n:
             raise ValueError("the stream ends too early")
         bits.held >>= n
@@ -117,9 +122,10 @@ class Code:
 
     def uniform(self) -> int | None:
         """The length of all words, if they share one."""
-        if self.only:
-            return 0
-        return self.width if all(n in (0, self.width) for n in self.lengths) else None
+        return self.width if (self.sizes == self.width).all() else None
+
+
+code_of = lru_cache(256)(Code)
 
 
 def read_code(bits: Bits, size: int) -> Code:
@@ -131,12 +137,12 @@ def read_code(bits: Bits, size: int) -> Code:
             if s >= size:
                 raise ValueError("a symbol is out of range")
             lengths[s] = 1
-        return Code(lengths)
+        return code_of(tuple(lengths))
     n = 4 + bits.take(4)
     of_lengths = [0] * 19
     for k in range(n):
         of_lengths[LENGTH_ORDER[k]] = bits.take(3)
-    reader = Code(of_lengths)
+    reader = code_of(tuple(of_lengths))
     left = size
     if bits.take(1):
         left = 2 + bits.take(2 + 2 * bits.take(3))
@@ -155,7 +161,7 @@ def read_code(bits: Bits, size: int) -> Code:
                     raise ValueError("too many code lengths")
                 lengths[at] = value
                 at += 1
-    return Code(lengths)
+    return code_of(tuple(lengths))
 
 
 def length_value(prefix: int, bits: Bits) -> int:
@@ -182,8 +188,7 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     total = width * height
     if groups == 1 and not cache_size:
         fast = _fixed_width(bits, codes[0], total)
-        if fast is not None:
-            return fast
+        return _by_arrays(bits, codes[0], total, width) if fast is None else fast
     out: list[int] = []
     cache = [0] * cache_size
     shift = 32 - cache_bits
@@ -226,7 +231,7 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
 def _fixed_width(bits: Bits, codes: list[Code], total: int) -> np.ndarray | None:
     """All pixels at once, if every word of a channel has the same length and green has literals only."""
     widths = [c.uniform() for c in codes[:4]]
-    if None in widths or any(codes[GREEN].lengths[256:]):
+    if None in widths or codes[GREEN].lengths[256:].any():
         return None
     start, each = bits.position, sum(widths)
     if start + each * total > bits.end:
@@ -244,7 +249,7 @@ def _fixed_width(bits: Bits, codes: list[Code], total: int) -> np.ndarray | None
         else:
             flat = np.unpackbits(raw, count=each * total, bitorder="little").reshape(total, each)
     for k in range(4):
-        table = np.array([s for s, _ in codes[k].table], np.uint8)
+        table = codes[k].symbols.astype(np.uint8)
         w = widths[k]
         if not w:
             argb[k] = np.full(total, table[0], np.uint32)
@@ -261,6 +266,108 @@ def _fixed_width(bits: Bits, codes: list[Code], total: int) -> np.ndarray | None
     return a << 24 | r << 16 | g << 8 | b
 
 
+#: Bits of a stream that are looked at in one go: the bound of what reading takes beside the image.
+STRETCH = 1 << 20
+
+
+def _prefixed(prefix: np.ndarray, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """length_value() of prefixes whose extra bits stand at the bits `at`, and where these end."""
+    extra = np.maximum(prefix - 2, 0) >> 1
+    more = (words[at >> 3] >> (at & 7).astype(np.uint64)).astype(np.int64) & ((1 << extra) - 1)
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + more + 1), at + extra
+
+
+def _by_arrays(bits: Bits, codes: list[Code], total: int, width: int) -> np.ndarray:
+    """The pixels of an image of one group of codes without a cache."""
+    green, dist = codes[GREEN], codes[DISTANCE]
+    others = [(c, shift) for c, shift in zip(codes[1:4], (16, 0, 24))]
+    constant = sum(c.only << shift for c, shift in others if c.width == 0)
+    table = green.symbols | green.sizes << 16
+    padded_ = bits.raw + bytes(64)
+    every = np.ndarray((len(padded_) - 8,), "<u8", padded_, 0, (1,))  # the 64 bits from each byte on
+    out = np.empty(total, np.uint32)
+    done, at = 0, bits.position
+    while done < total:
+        if at >= bits.end and (green.width or any(c.width for c, _ in others)):
+            raise ValueError("the stream ends too early")
+        base = at >> 3
+        n = min(STRETCH >> 3, len(bits.raw) - base) + 1
+        words = every[base : base + n + 40]
+        size = 8 * n
+        found = table[(words[:n, None] >> np.arange(8, dtype=np.uint64) & np.uint64((1 << green.width) - 1)).astype(np.int64).ravel()]
+        symbol = found & 0xFFFF
+        end = np.arange(size) + (found >> 16)
+        refs = np.flatnonzero(symbol >= 256)
+        for c, _ in others:
+            if c.width:
+                plain = np.flatnonzero(symbol < 256)
+                e = end[plain]
+                end[plain] = e + c.sizes[(words[e >> 3] >> (e & 7).astype(np.uint64)).astype(np.int64) & ((1 << c.width) - 1)]
+        if len(refs):
+            if (symbol[refs] >= 280).any():
+                raise ValueError("a symbol of a cache that there is not")
+            length, e = _prefixed(symbol[refs] - 256, end[refs], words)
+            k = (words[e >> 3] >> (e & 7).astype(np.uint64)).astype(np.int64) & ((1 << dist.width) - 1)
+            back, e = _prefixed(dist.symbols[k], e + dist.sizes[k], words)
+            end[refs] = e
+        # Every eighth token by steps of eight, the others from these.
+        step = np.append(np.minimum(end, size), size)
+        eight = step[step]
+        eight = eight[eight]
+        eight = eight[eight]
+        p, firsts = at - 8 * base, []
+        least = total - done
+        while p < size and 8 * len(firsts) < least:
+            firsts.append(p)
+            p = eight.item(p)
+        chain = [np.array(firsts)]
+        for _ in range(7):
+            chain.append(step[chain[-1]])
+        tokens = np.stack(chain, axis=1).ravel()
+        tokens = tokens[tokens < size]
+        made = np.ones(len(tokens), np.int64)
+        s = symbol[tokens]
+        is_ref = s >= 256
+        if len(refs):
+            which = np.searchsorted(refs, tokens[is_ref])
+            made[is_ref] = length[which]
+        upto = np.cumsum(made)
+        m = min(int(np.searchsorted(upto, least)) + 1, len(tokens))
+        tokens, made, s, is_ref = tokens[:m], made[:m], s[:m], is_ref[:m]
+        if done + int(upto[m - 1]) > total:
+            raise ValueError("a back-reference leaves the image")
+        place = done + upto[:m] - made
+        lit = ~is_ref
+        pixels_ = (s[lit] << 8 | constant).astype(np.uint32)
+        e = tokens[lit] + (found[tokens[lit]] >> 16)
+        for c, shift in others:
+            if c.width:
+                k = (words[e >> 3] >> (e & 7).astype(np.uint64)).astype(np.int64) & ((1 << c.width) - 1)
+                pixels_ |= (c.symbols[k] << shift).astype(np.uint32)
+                e = e + c.sizes[k]
+        out[place[lit]] = pixels_
+        if len(refs):
+            which = which[: int(is_ref.sum())]
+            for o, count, d in zip(place[is_ref].tolist(), length[which].tolist(), back[which].tolist()):
+                if d <= 120:
+                    x, y = NEAR[d - 1]
+                    d = max(1, x + y * width)
+                else:
+                    d -= 120
+                if d > o:
+                    raise ValueError("a back-reference leaves the image")
+                if d >= count:
+                    out[o : o + count] = out[o - d : o - d + count]
+                else:
+                    out[o : o + count] = np.resize(out[o - d : o], count)
+        done += int(upto[m - 1])
+        at = 8 * base + int(end[tokens[-1]])
+        if at > bits.end:
+            raise ValueError("the stream ends too early")
+    bits.seek(at)
+    return out
+
+
 def _channels(p: np.ndarray) -> np.ndarray:
     """(n, 4) samples in the order blue, green, red, alpha."""
     return np.ascontiguousarray(p, "<u4").view(np.uint8).reshape(-1, 4)
@@ -418,6 +525,12 @@ class Out:
         self.value |= v << self.n
         self.n += n
 
+    def followed_by(self, tail: np.ndarray) -> Out:
+        """A sink that holds these bits and those of tail."""
+        new = Out()
+        new.value, new.n = int.from_bytes(self.bytes_with(tail), "little"), self.n + len(tail)
+        return new
+
     def bytes_with(self, tail: np.ndarray | None) -> bytes:
         """All bits, followed by those of tail (an array of 0 and 1)."""
         if tail is None:
@@ -475,8 +588,9 @@ def _fixed_image(out: Out, p: np.ndarray) -> np.ndarray:
     return np.concatenate(parts, axis=1).ravel() if parts else np.zeros(0, np.uint8)
 
 
-def encode(samples: np.ndarray, transforms: tuple[str, ...] = (), predictor: int = 2) -> bytes:
-    """A file of (height, width, 3 or 4) samples. transforms: "subtract_green", "predictor"; in that order."""
+def encode(samples: np.ndarray, transforms: tuple[str, ...] = (), predictor: int = 2, elements: tuple[int, int, int] = (37, 200, 91)) -> bytes:
+    """A file of (height, width, 3 or 4) samples. transforms: "subtract_green",
+    "predictor", "cross_color" with `elements` (green to red, green to blue, red to blue; bytes); in the order given."""
     height, width, n = samples.shape
     c = np.full((height * width, 4), 255, np.uint8)
     c[:, [2, 1, 0, 3][:n]] = samples.reshape(-1, n)
@@ -492,16 +606,218 @@ def encode(samples: np.ndarray, transforms: tuple[str, ...] = (), predictor: int
         if name == "subtract_green":
             out.put(SUBTRACT_GREEN, 2)
             p = _green(p, -1)
+            continue
+        blocks = (-(-width >> 9)) * (-(-height >> 9))
+        if name == "cross_color":
+            out.put(CROSS_COLOR, 2)
+            out.put(7, 3)
+            each = np.full(blocks, 0xFF000000 | elements[2] << 16 | elements[1] << 8 | elements[0], np.uint32)
+            out.put(0, 1)
+            _fixed_image(out, each)  # one value: no bits
+            p = _cross(p, each, 9, width, height, False)
         else:
             out.put(PREDICTOR, 2)
             out.put(7, 3)
-            blocks = (-(-width >> 9)) * (-(-height >> 9))
             modes = np.full(blocks, 0xFF000000 | predictor << 8, np.uint32)
             out.put(0, 1)
             _fixed_image(out, modes)  # one value: no bits
             p = _walk_predictor(p, np.full(blocks, predictor), 9, width, height, False)
     out.put(0, 3)  # no more transforms, no cache, one group of codes
     stream = out.bytes_with(_fixed_image(out, p))
+    return _file(stream)
+
+
+def code_lengths(counts: np.ndarray, limit: int = 12) -> np.ndarray:
+    """Lengths of a complete prefix code for symbols that occur so often: the bits of information, rounded up, then
+    shortened, frequent symbols first, while there is room. A symbol alone has length 1."""
+    used = np.flatnonzero(counts)
+    out = np.zeros(len(counts), np.int64)
+    if len(used) < 2:
+        out[used] = 1
+        return out
+    used = used[np.argsort(-counts[used], kind="stable")]
+    n = np.clip(np.ceil(np.log2(counts[used].sum() / counts[used])).astype(np.int64), 1, limit).tolist()
+    room = (1 << limit) - sum(1 << (limit - x) for x in n)
+    k = len(n) - 1
+    while room < 0:  # the rarest symbols that aren't at the limit give way
+        if n[k] < limit:
+            n[k] += 1
+            room += 1 << (limit - n[k])
+        else:
+            k -= 1
+    while room:
+        for k, x in enumerate(n):
+            if 1 << (limit - x) <= room:
+                n[k] = x - 1
+                room -= 1 << (limit - x)
+    out[used] = n
+    return out
+
+
+def code_words(lengths: np.ndarray) -> np.ndarray:
+    """The canonical code's words, first bit lowest."""
+    used = np.flatnonzero(lengths)
+    used = used[np.argsort(lengths[used], kind="stable")]
+    width = int(lengths.max())
+    first = np.cumsum(1 << (width - lengths[used])) - (1 << (width - lengths[used]))
+    words = np.zeros(len(lengths), np.int64)
+    words[used] = _reversal(width)[first]
+    return words
+
+
+def _put_code(out: Out, lengths: np.ndarray) -> None:
+    """Write a code of lengths up to 13: one symbol alone as a simple code; else each length, and runs of zeros, in
+    four bits."""
+    used = np.flatnonzero(lengths)
+    if len(used) < 2 and (not len(used) or used[0] < 256):
+        out.put(0b101, 3)
+        out.put(int(used[0]) if len(used) else 0, 8)
+        return
+    fixed = [*range(14), 17, 18]  # sixteen symbols of four bits
+    out.put(0, 1)
+    out.put(15, 4)
+    for s in LENGTH_ORDER:
+        out.put(4 if s in fixed else 0, 3)
+    out.put(0, 1)
+    turned, values = _reversal(4).tolist(), lengths.tolist()
+    value = n = at = 0
+    while at < len(values):
+        x, run = values[at], 1
+        if x == 0:
+            while at + run < len(values) and run < 138 and values[at + run] == 0:
+                run += 1
+            if run > 10:
+                value |= (turned[15] | (run - 11) << 4) << n
+                n += 11
+            elif run > 2:
+                value |= (turned[14] | (run - 3) << 4) << n
+                n += 7
+            else:
+                run = 1
+                n += 4
+        else:
+            value |= turned[x] << n
+            n += 4
+        at += run
+    out.put(value, n)
+
+
+def repeats(a: np.ndarray, least: int = 8, farthest: int = (1 << 20) - 120, longest: int = 4096) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of stretches of bytes equal to earlier ones, in order, without overlap."""
+    n = len(a) - least + 1
+    if n < 2:
+        return []
+    buffer = a.tobytes() + bytes(8)
+    key = np.ndarray((n,), "<u8", buffer, 0, (1,)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        short = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16)
+    order = np.argsort(short, kind="stable")
+    before = np.full(n, -1)
+    before[order[1:]] = np.where(short[order[1:]] == short[order[:-1]], order[:-1], -1)
+    at = np.flatnonzero(before >= 0)
+    at = at[key[at] == key[before[at]]]
+    far = at - before[at]
+    at, far = at[far <= farthest], far[far <= farthest]
+    if not len(at):
+        return []
+    new = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (far[1:] != far[:-1])))
+    ends = at[np.append(new[1:], len(at)) - 1] + least
+    out, free = [], 0
+    for start, end, d in zip(at[new].tolist(), ends.tolist(), far[new].tolist()):
+        start = max(start, free)
+        while end - start >= least:
+            size = min(end - start, longest)
+            out.append((start, size, d))
+            start = free = start + size
+    return out
+
+
+def _prefix_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix, extra bits and their number, of values from 1 on."""
+    x = v - 1
+    high = np.floor(np.log2(np.maximum(x, 1))).astype(np.int64)
+    few = x < 4
+    extra = np.where(few, 0, high - 1)
+    return np.where(few, x, 2 * high + (x >> np.maximum(high - 1, 0) & 1)), x & ((1 << extra) - 1), extra
+
+
+def _fitted_image(out: Out, green: np.ndarray) -> np.ndarray:
+    """Write codes for pixels that differ in green only, and no cache or meta blocks; returns the bits of the pixels."""
+    found = repeats(green)
+    start, size, far = (np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    own = np.ones(len(green), bool)
+    if found:
+        inside = np.zeros(len(green) + 1, np.int64)
+        inside[start] += 1
+        inside[start + size] -= 1
+        own = np.cumsum(inside[:-1]) == 0
+        own[start] = True
+    symbol = green.astype(np.int64)
+    length, more, n_more = _prefix_of(size)
+    distance, beyond, n_beyond = _prefix_of(far + 120)
+    symbol[start] = 256 + length
+    tokens = symbol[own]
+    of_green = code_lengths(np.bincount(tokens, minlength=280))
+    of_distance = code_lengths(np.bincount(distance, minlength=40))
+    out.put(0, 1)  # no cache
+    out.put(0, 1)  # one group
+    _put_code(out, of_green)
+    for _ in range(3):
+        out.put(0b101, 3)
+        out.put(0, 8)
+    _put_code(out, of_distance)
+    if (of_green > 0).sum() < 2:
+        of_green = np.zeros(280, np.int64)
+    word, n = code_words(of_green)[tokens] if of_green.any() else np.zeros(len(tokens), np.int64), of_green[tokens]
+    if found:
+        single = (of_distance > 0).sum() < 2
+        n_far = np.zeros(len(distance), np.int64) if single else of_distance[distance]
+        far_word = np.zeros(len(distance), np.int64) if single else code_words(of_distance)[distance]
+        at = np.cumsum(own)[start] - 1
+        full, k = word[at], n[at]
+        for value, count in ((more, n_more), (far_word, n_far), (beyond, n_beyond)):
+            full = full | value << k
+            k = k + count
+        word[at], n[at] = full, k
+    ends = np.cumsum(n)
+    if not len(ends) or not ends[-1]:
+        return np.zeros(0, np.uint8)
+    within = np.arange(ends[-1]) - np.repeat(ends - n, n)
+    return (np.repeat(word, n) >> within & 1).astype(np.uint8)
+
+
+def encode_indexed(samples: np.ndarray) -> bytes:
+    """A file of (height, width) bytes, which are its green samples; red and blue are 0, alpha is 255."""
+    height, width = samples.shape
+    present = np.flatnonzero(np.bincount(samples.ravel(), minlength=256))
+    rank = np.zeros(256, np.uint8)
+    rank[present] = np.arange(len(present))
+    at = rank[samples]
+    out = Out()
+    out.put(0x2F, 8)
+    out.put(width - 1, 14)
+    out.put(height - 1, 14)
+    out.put(0, 4)
+    out.put(1, 1)
+    out.put(PALETTE, 2)
+    out.put(len(present) - 1, 8)
+    deltas = np.zeros((len(present), 4), np.uint8)
+    deltas[:, 1] = np.diff(present, prepend=0)
+    deltas[0, 3] = 255
+    out.put(0, 1)  # no cache
+    out = out.followed_by(_fixed_image(out, deltas.view("<u4").ravel()))
+    bundle = 3 if len(present) <= 2 else 2 if len(present) <= 4 else 1 if len(present) <= 16 else 0
+    if bundle:
+        step, each = 1 << bundle, 8 >> bundle
+        wide = np.zeros((height, -(-width // step) * step), np.uint8)
+        wide[:, :width] = at
+        at = np.bitwise_or.reduce(wide.reshape(height, -1, step) << (each * np.arange(step, dtype=np.uint8)), axis=2).astype(np.uint8)
+    out.put(0, 1)  # no more transforms
+    stream = out.bytes_with(_fitted_image(out, at.ravel()))
+    return _file(stream)
+
+
+def _file(stream: bytes) -> bytes:
     pad = b"\0" * (len(stream) % 2)
     return b"RIFF" + struct.pack("<I", 12 + len(stream) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + pad
 
@@ -511,9 +827,17 @@ def padded(raw: bytes, unit: int = UNIT) -> bytes:
     return raw + b"\xff" * (-len(raw) % unit or (0 if raw else unit))
 
 
+#: Bytes of the largest image of one byte to a pixel whose width is a multiple of the unit.
+ONE_IMAGE = 28 * UNIT * 16384
+
+
 def payload_file(payload: bytes) -> bytes:
-    """A file whose red, green and blue samples, in order, begin with the payload."""
-    pixels = len(payload) // 3
+    """A file whose green samples, in order, begin with the payload; above ONE_IMAGE its red, green and blue ones."""
+    if len(payload) <= ONE_IMAGE:
+        width = UNIT * max(1, -(-len(payload) // (UNIT * 16384)))
+        height = -(-len(payload) // width)
+        return encode_indexed(np.frombuffer(payload.ljust(width * height, b"\xff"), np.uint8).reshape(height, width))
+    pixels = -(-len(payload) // 3)
     width = 192 * max(1, -(-pixels // (192 * 16384)))
     height = -(-pixels // width)
     samples = np.frombuffer(payload.ljust(3 * width * height, b"\xff"), np.uint8)
@@ -521,6 +845,8 @@ def payload_file(payload: bytes) -> bytes:
 
 
 def read_payload(file: bytes, n: int) -> bytes:
+    if n <= ONE_IMAGE:
+        return decode(file)[:, :, 1].tobytes()[:n]
     return decode(file)[:, :, :3].tobytes()[:n]
 
 

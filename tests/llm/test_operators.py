@@ -489,6 +489,128 @@ def test_webp_references_and_cache():
     assert p.tolist() == [a, b, b, b, b] + [slots[(0x1E35A7BD * q & 0xFFFFFFFF) >> 30] for q in (a, b, a)]
 
 
+def random_stream(r: random.Random) -> tuple[bytes, list[int], int]:
+    """A stream of random literals, back-references and cache symbols under random codes, by groups or one for all,
+    and its pixels, kept one by one."""
+    w, h, cache_bits, groups = r.randint(1, 40), r.randint(1, 12), r.choice([0, 0, 1, 5]), r.choice([1, 1, 3])
+    out = start(w, h)
+    out.put(0, 1)
+    out.put(int(cache_bits > 0), 1)
+    if cache_bits:
+        out.put(cache_bits, 4)
+    size = 1 << cache_bits if cache_bits else 0
+    out.put(int(groups > 1), 1)
+    across = -(-w >> 2)
+    meta = [r.randrange(groups) for _ in range(across * -(-h >> 2))]
+    if groups > 1:
+        meta[0] = groups - 1
+        out.put(0, 3)  # blocks of four
+        out.put(0, 1)  # their image has no cache
+        codes = [out.code(flat(range(4), 280)), *(out.code(flat([0, 1], n)) for n in (256, 256, 256, 40))]
+        for g in meta:
+            for words, v in zip(codes, (g, 0, 0, 0)):
+                out.put(*words[v])
+    wide = [r.random() < 0.6 for _ in range(3)]
+    values = [[r.randrange(256) for _ in range(5)] for _ in range(4)]
+    table = []
+    for _ in range(groups):
+        random_code = lambda used, n: out.code(webp.code_lengths(np.bincount([s for s in set(used) for _ in range(r.randint(1, 30))], minlength=n)).tolist())
+        green = random_code([*values[0], *range(256, 264), *range(280, 280 + size)], 280 + size)
+        rest = [random_code(v if many else v[:1] + [(v[0] + 1) % 256], 256) for v, many in zip(values[1:], wide)]
+        table.append((green, *rest, random_code(range(12), 40)))
+    pixels, cache = [], [0] * size
+
+    def done(p):
+        pixels.append(p)
+        if size:
+            cache[(0x1E35A7BD * p & 0xFFFFFFFF) >> (32 - cache_bits)] = p
+
+    def prefix(v):
+        for s in range(40):
+            extra = (s - 2) >> 1 if s > 3 else 0
+            low = s + 1 if s < 4 else ((2 + (s & 1)) << extra) + 1
+            if low <= v < low + (1 << extra):
+                return s, v - low, extra
+
+    while len(pixels) < w * h:
+        at = len(pixels)
+        green, red, blue, alpha, dist = table[meta[(at // w >> 2) * across + (at % w >> 2)] if groups > 1 else 0]
+        kind, left = r.random(), w * h - at
+        if kind < 0.5 or not pixels:
+            g, x, b, a = r.choice(values[0]), *(r.choice(v if many else v[:1]) for v, many in zip(values[1:], wide))
+            for words, v in ((green, g), (red, x), (blue, b), (alpha, a)):
+                out.put(*words[v])
+            done(a << 24 | x << 16 | g << 8 | b)
+        elif kind < 0.75 and size:
+            k = r.randrange(size)
+            out.put(*green[280 + k])
+            done(cache[k])
+        else:
+            n, code = r.randint(1, min(left, 16)), r.randint(1, 64)
+            x, y = webp.NEAR[code - 1]
+            d = max(1, x + y * w)
+            if d > at:
+                continue
+            s, more, extra = prefix(n)
+            out.put(*green[256 + s])
+            out.put(more, extra)
+            s, more, extra = prefix(code)
+            out.put(*dist[s])
+            out.put(more, extra)
+            for _ in range(n):
+                done(pixels[-d])
+    return out.done(), pixels, w
+
+
+@pytest.mark.parametrize("stretch", [64, 1 << 20])
+def test_webp_random_streams(monkeypatch, stretch):
+    """Prefix codes of all kinds, groups, back-references and cache, by arrays in short stretches and symbol by symbol."""
+    monkeypatch.setattr(webp, "STRETCH", stretch)
+    r, read = random.Random(11), Counter()
+    by_arrays = webp._by_arrays
+    monkeypatch.setattr(webp, "_by_arrays", lambda *a: read.update(["arrays"]) or by_arrays(*a))
+    for _ in range(150):
+        stream, pixels, w = random_stream(r)
+        p, width, _ = webp.decode_argb(stream)
+        assert p.tolist() == pixels and width == w
+        read["all"] += 1
+        if len(pixels) > 100:
+            with pytest.raises(ValueError):
+                webp.decode_argb(stream[: len(stream) // 2])
+    assert read["arrays"] > 30 and read["all"] - read["arrays"] > 30
+
+
+def test_webp_payload_files(spark):
+    """Payloads of texts, of few bytes (several to a pixel), of random bytes and with long repeats, there and back, by
+    the array reader; and what the files hold."""
+    r = random.Random(5)
+    given = [t.encode() for t in texts() if t] + [b"", b"ab" * 700, b"abcd" * 300 + b"xyz", bytes(range(16)) * 90, r.randbytes(5000), r.randbytes(300) * 40, b"q" * 20_000]
+    given += [(x.text or "").encode() for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    seen = Counter()
+    for raw in given:
+        payload = webp.padded(raw)
+        file = webp.payload_file(payload)
+        assert webp.read_payload(file, len(payload)) == payload and file == webp.payload_file(payload)
+        bits = webp.Bits(webp.bitstream(file))
+        assert bits.take(8) == 0x2F and bits.take(28) is not None and bits.take(4) == 0
+        seen["palette"] += bits.take(1) == 1 and bits.take(2) == webp.PALETTE
+        n = bits.take(8) + 1
+        webp.read_pixels(bits, n, 1, False)
+        assert bits.take(1) == 0 and bits.take(2) == 0
+        green = webp.read_code(bits, 280)
+        seen["mixed"] += green.uniform() is None
+        seen["references"] += bool(green.lengths[256:].any())
+    assert seen["palette"] == len(given) and seen["mixed"] > 0.9 * len(given) and seen["references"] > 0.9 * len(given)
+    for counts in ([1], [0, 5], [1, 1], [1000, 1, 1], [1] * 280, [2**k for k in range(30)], [0] * 9):
+        lengths = webp.code_lengths(np.array(counts))
+        used = lengths[lengths > 0]
+        assert len(used) == np.count_nonzero(counts) and (len(used) < 2 or (0.5**used).sum() == 1.0 and used.max() <= 12)
+    a = np.frombuffer(b"0123456789abcdefgh-0123456789abcdefgh-0123456789" + bytes(9000), np.uint8)
+    found = webp.repeats(a)
+    assert found[0] == (19, 29, 19) and max(n for _, n, _ in found) == 4096
+    assert all((a[s : s + n] == np.resize(a[s - d : s], n)).all() and s >= d for s, n, d in found)
+
+
 @pytest.mark.parametrize("colors", [2, 4, 16, 17])
 def test_webp_palette(colors):
     r = np.random.default_rng(colors)
@@ -521,7 +643,7 @@ def test_webp_palette(colors):
 def test_webp_transforms_and_payloads(spark, docs):
     r = np.random.default_rng(1)
     image = r.integers(0, 256, (7, 9, 4), dtype=np.uint8)
-    for transforms in ((), ("subtract_green",), ("predictor",), ("subtract_green", "predictor")):
+    for transforms in ((), ("subtract_green",), ("predictor",), ("subtract_green", "predictor"), ("cross_color",), ("predictor", "cross_color", "subtract_green")):
         for mode in range(14):
             assert (webp.decode(webp.encode(image, transforms, mode)) == image).all()
     p, e = r.integers(0, 2**32, 63, dtype=np.uint32), r.integers(0, 2**32, 6, dtype=np.uint32)
@@ -536,9 +658,10 @@ def test_webp_transforms_and_payloads(spark, docs):
         assert len(payload) % 576 == 0 and got[k].n_bytes == len((t or "").encode()) and got[k].payload_bytes == len(payload)
         assert got[k].payload_sha256 == hashlib.sha256(payload).hexdigest() and got[k].tail_crc32 == zlib.crc32(payload[-32:])
     assert got[0].media_sha256 == got[1].media_sha256 and got[5].feature == got[6].feature
+    assert got[15].media_bytes < 1000 and got[17].media_bytes < 0.6 * got[17].payload_bytes
     shown = webp.pixels(webp.store(docs.select("doc_id", "text")).withColumnRenamed("text", "file")).where("doc_id = 0").first()
-    rgb = np.frombuffer(shown.rgba, np.uint8).reshape(-1, 4)[:, :3].tobytes()
-    assert rgb.startswith(webp.padded(texts()[0].encode())) and shown.width * shown.height * 4 == len(shown.rgba)
+    green = np.frombuffer(shown.rgba, np.uint8).reshape(-1, 4)[:, 1].tobytes()
+    assert green.startswith(webp.padded(texts()[0].encode())) and shown.width * shown.height * 4 == len(shown.rgba)
 
 
 def test_html(spark):
