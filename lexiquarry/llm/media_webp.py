@@ -7,9 +7,8 @@ the code word at every bit of a stretch of the stream is looked up at once, the
 following the chain of their ends, and literals and back-references are then put in place. Other images are read
 symbol by symbol.
 
-encode_indexed(), which payloads go through, writes one byte to a pixel: a palette of the bytes that occur (up to 16
-of them: several pixels in one), back-references to earlier equal stretches, and prefix codes fitted to what is
-left. encode() writes RGB or RGBA samples with codes of one width, on request after subtract-green, cross-colour or
+encode_bytes(), which payloads go through, writes one byte to a pixel: back-references to earlier equal stretches,
+prefix codes fitted to what is left, and for up to 16 different bytes a palette, several pixels in one. encode() writes RGB or RGBA samples with codes of one width, on request after subtract-green, cross-colour or
 predictor transforms. Text gains nothing from these or a colour cache: payload files have none of them.
 
 Defined results: a null text is an empty payload, padded like any other to one block. Equal payloads give
@@ -268,6 +267,7 @@ def _fixed_width(bits: Bits, codes: list[Code], total: int) -> np.ndarray | None
 
 #: Bits of a stream that are looked at in one go: the bound of what reading takes beside the image.
 STRETCH = 1 << 20
+_EIGHT = np.arange(8, dtype=np.uint64)
 
 
 def _prefixed(prefix: np.ndarray, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,7 +294,7 @@ def _by_arrays(bits: Bits, codes: list[Code], total: int, width: int) -> np.ndar
         n = min(STRETCH >> 3, len(bits.raw) - base) + 1
         words = every[base : base + n + 40]
         size = 8 * n
-        found = table[(words[:n, None] >> np.arange(8, dtype=np.uint64) & np.uint64((1 << green.width) - 1)).astype(np.int64).ravel()]
+        found = table[(words[:n, None] >> _EIGHT & np.uint64((1 << green.width) - 1)).view(np.int64).ravel()]
         symbol = found & 0xFFFF
         end = np.arange(size) + (found >> 16)
         refs = np.flatnonzero(symbol >= 256)
@@ -539,7 +539,7 @@ class Out:
         return np.packbits(np.concatenate([head[: self.n], tail]), bitorder="little").tobytes()
 
 
-def _put_fixed(out: Out, values: np.ndarray) -> tuple[np.ndarray, int]:
+def _put_fixed(out: Out, values: np.ndarray, size: int = 256) -> tuple[np.ndarray, int]:
     """Write a code whose words are equally long and cover the values; returns each value's word and the width."""
     present = np.flatnonzero(np.bincount(values, minlength=256))
     words = np.zeros(256, np.uint8)
@@ -554,23 +554,7 @@ def _put_fixed(out: Out, values: np.ndarray) -> tuple[np.ndarray, int]:
     symbols = np.flatnonzero(member)
     reverse = np.packbits(np.unpackbits(np.arange(1 << width, dtype=np.uint8)[:, None], axis=1)[:, ::-1], axis=1)[:, 0]
     words[symbols] = reverse >> (8 - width)
-    out.put(0, 1)
-    # lengths 0 and `width` as one-bit words, or `width` alone as an empty word
-    order = {s: k for k, s in enumerate(LENGTH_ORDER)}
-    stored = [0] * 19
-    stored[order[width]] = 1
-    if width < 8:
-        stored[order[0]] = 1
-    n = max(4, max(k for k, v in enumerate(stored) if v) + 1)
-    out.put(n - 4, 4)
-    for v in stored[:n]:
-        out.put(v, 3)
-    out.put(1, 1)  # only 256 lengths follow
-    out.put(3, 3)
-    out.put(254, 8)
-    if width < 8:
-        lengths = int.from_bytes(np.packbits(member, bitorder="little").tobytes(), "little")
-        out.put(lengths, 256)
+    _put_code(out, np.append(np.where(member, width, 0), np.zeros(size - 256, np.int64)))
     return words, width
 
 
@@ -579,7 +563,7 @@ def _fixed_image(out: Out, p: np.ndarray) -> np.ndarray:
     c = _channels(p)
     parts, widths = [], []
     for k in (1, 2, 0, 3):
-        words, width = _put_fixed(out, c[:, k])
+        words, width = _put_fixed(out, c[:, k], 280 if k == 1 else 256)
         if width:
             bits = np.unpackbits(words[c[:, k]][:, None], axis=1, count=width, bitorder="little")
             parts.append(bits)
@@ -679,13 +663,12 @@ def _put_code(out: Out, lengths: np.ndarray) -> None:
     for s in LENGTH_ORDER:
         out.put(4 if s in fixed else 0, 3)
     out.put(0, 1)
-    turned, values = _reversal(4).tolist(), lengths.tolist()
-    value = n = at = 0
-    while at < len(values):
-        x, run = values[at], 1
-        if x == 0:
-            while at + run < len(values) and run < 138 and values[at + run] == 0:
-                run += 1
+    turned = _reversal(4).tolist()
+    value, n, after = 0, 0, 0
+    for at, x in zip([*used.tolist(), len(lengths)], [*lengths[used].tolist(), None]):
+        gap, after = at - after, at + 1
+        while gap:
+            run = min(gap, 138)
             if run > 10:
                 value |= (turned[15] | (run - 11) << 4) << n
                 n += 11
@@ -693,12 +676,12 @@ def _put_code(out: Out, lengths: np.ndarray) -> None:
                 value |= (turned[14] | (run - 3) << 4) << n
                 n += 7
             else:
-                run = 1
-                n += 4
-        else:
+                value |= turned[0] << n
+                n, run = n + 4, 1
+            gap -= run
+        if x:
             value |= turned[x] << n
             n += 4
-        at += run
     out.put(value, n)
 
 
@@ -741,7 +724,7 @@ def _prefix_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(few, x, 2 * high + (x >> np.maximum(high - 1, 0) & 1)), x & ((1 << extra) - 1), extra
 
 
-def _fitted_image(out: Out, green: np.ndarray) -> np.ndarray:
+def _fitted_image(out: Out, green: np.ndarray, alpha: int) -> np.ndarray:
     """Write codes for pixels that differ in green only, and no cache or meta blocks; returns the bits of the pixels."""
     found = repeats(green)
     start, size, far = (np.array(x, np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
@@ -762,9 +745,9 @@ def _fitted_image(out: Out, green: np.ndarray) -> np.ndarray:
     out.put(0, 1)  # no cache
     out.put(0, 1)  # one group
     _put_code(out, of_green)
-    for _ in range(3):
+    for x in (0, 0, alpha):
         out.put(0b101, 3)
-        out.put(0, 8)
+        out.put(x, 8)
     _put_code(out, of_distance)
     if (of_green > 0).sum() < 2:
         of_green = np.zeros(280, np.int64)
@@ -786,35 +769,51 @@ def _fitted_image(out: Out, green: np.ndarray) -> np.ndarray:
     return (np.repeat(word, n) >> within & 1).astype(np.uint8)
 
 
-def encode_indexed(samples: np.ndarray) -> bytes:
-    """A file of (height, width) bytes, which are its green samples; red and blue are 0, alpha is 255."""
+def _palette_image(out: Out, green: np.ndarray) -> np.ndarray:
+    """Write codes for differences of colours, green ones and an alpha of 255 that the first colour has; returns the
+    bits of the pixels."""
+    words, width = _put_fixed(out, green, 280)
+    for _ in range(2):
+        out.put(0b101, 3)  # simple, one symbol, eight bits: zero
+        out.put(0, 8)
+    out.put(0b0011, 4)  # simple, two symbols, the first one bit: zero and 255
+    out.put(255, 8)
+    out.put(0b0001, 4)  # distance: simple, one symbol, one bit, zero
+    bits = np.zeros((len(green), width + 1), np.uint8)
+    bits[:, :width] = words[green][:, None] >> np.arange(width, dtype=np.uint8) & 1
+    bits[0, width] = 1
+    return bits.ravel()
+
+
+def encode_bytes(samples: np.ndarray) -> bytes:
+    """A file of (height, width) bytes, which are its green samples; red and blue are 0, alpha is 255.
+
+    With up to 16 different bytes, a palette puts several pixels into one; with more, it would only add to the file.
+    """
     height, width = samples.shape
-    present = np.flatnonzero(np.bincount(samples.ravel(), minlength=256))
-    rank = np.zeros(256, np.uint8)
-    rank[present] = np.arange(len(present))
-    at = rank[samples]
     out = Out()
     out.put(0x2F, 8)
     out.put(width - 1, 14)
     out.put(height - 1, 14)
     out.put(0, 4)
-    out.put(1, 1)
-    out.put(PALETTE, 2)
-    out.put(len(present) - 1, 8)
-    deltas = np.zeros((len(present), 4), np.uint8)
-    deltas[:, 1] = np.diff(present, prepend=0)
-    deltas[0, 3] = 255
-    out.put(0, 1)  # no cache
-    out = out.followed_by(_fixed_image(out, deltas.view("<u4").ravel()))
-    bundle = 3 if len(present) <= 2 else 2 if len(present) <= 4 else 1 if len(present) <= 16 else 0
-    if bundle:
+    present = np.flatnonzero(np.bincount(samples.ravel(), minlength=256))
+    alpha = 255
+    if len(present) <= 16:
+        rank = np.zeros(256, np.uint8)
+        rank[present] = np.arange(len(present))
+        out.put(1, 1)
+        out.put(PALETTE, 2)
+        out.put(len(present) - 1, 8)
+        out.put(0, 1)  # no cache
+        out = out.followed_by(_palette_image(out, np.diff(present, prepend=0)))
+        bundle = 3 if len(present) <= 2 else 2 if len(present) <= 4 else 1
         step, each = 1 << bundle, 8 >> bundle
         wide = np.zeros((height, -(-width // step) * step), np.uint8)
-        wide[:, :width] = at
-        at = np.bitwise_or.reduce(wide.reshape(height, -1, step) << (each * np.arange(step, dtype=np.uint8)), axis=2).astype(np.uint8)
+        wide[:, :width] = rank[samples]
+        samples = np.bitwise_or.reduce(wide.reshape(height, -1, step) << (each * np.arange(step, dtype=np.uint8)), axis=2).astype(np.uint8)
+        alpha = 0
     out.put(0, 1)  # no more transforms
-    stream = out.bytes_with(_fitted_image(out, at.ravel()))
-    return _file(stream)
+    return _file(out.bytes_with(_fitted_image(out, samples.ravel(), alpha)))
 
 
 def _file(stream: bytes) -> bytes:
@@ -836,7 +835,7 @@ def payload_file(payload: bytes) -> bytes:
     if len(payload) <= ONE_IMAGE:
         width = UNIT * max(1, -(-len(payload) // (UNIT * 16384)))
         height = -(-len(payload) // width)
-        return encode_indexed(np.frombuffer(payload.ljust(width * height, b"\xff"), np.uint8).reshape(height, width))
+        return encode_bytes(np.frombuffer(payload.ljust(width * height, b"\xff"), np.uint8).reshape(height, width))
     pixels = -(-len(payload) // 3)
     width = 192 * max(1, -(-pixels // (192 * 16384)))
     height = -(-pixels // width)
@@ -846,13 +845,14 @@ def payload_file(payload: bytes) -> bytes:
 
 def read_payload(file: bytes, n: int) -> bytes:
     if n <= ONE_IMAGE:
-        return decode(file)[:, :, 1].tobytes()[:n]
+        pixels_, _, _ = decode_argb(bitstream(file))
+        return (pixels_ >> 8).astype(np.uint8).tobytes()[:n]
     return decode(file)[:, :, :3].tobytes()[:n]
 
 
 def feature(samples: np.ndarray) -> str:
-    """Means of sixteen equal stretches of the samples and their spread, in hex."""
-    means = [int(x.mean()) for x in np.array_split(samples, 16)]
+    """Means of sixteen equal stretches of the samples, whose number sixteen divides, and their spread, in hex."""
+    means = samples.reshape(16, -1).mean(axis=1).astype(int).tolist()
     return bytes([*means, int(samples.std())]).hex()
 
 

@@ -593,14 +593,18 @@ def test_webp_payload_files(spark):
         assert webp.read_payload(file, len(payload)) == payload and file == webp.payload_file(payload)
         bits = webp.Bits(webp.bitstream(file))
         assert bits.take(8) == 0x2F and bits.take(28) is not None and bits.take(4) == 0
-        seen["palette"] += bits.take(1) == 1 and bits.take(2) == webp.PALETTE
-        n = bits.take(8) + 1
-        webp.read_pixels(bits, n, 1, False)
-        assert bits.take(1) == 0 and bits.take(2) == 0
+        few = len(set(payload)) <= 16
+        assert bits.take(1) == few
+        if few:
+            assert bits.take(2) == webp.PALETTE
+            webp.read_pixels(bits, bits.take(8) + 1, 1, False)
+            assert bits.take(1) == 0
+        seen["palette"] += few
+        assert bits.take(2) == 0
         green = webp.read_code(bits, 280)
         seen["mixed"] += green.uniform() is None
         seen["references"] += bool(green.lengths[256:].any())
-    assert seen["palette"] == len(given) and seen["mixed"] > 0.9 * len(given) and seen["references"] > 0.9 * len(given)
+    assert seen["palette"] > 5 and seen["mixed"] > 0.9 * len(given) and seen["references"] > 0.9 * len(given)
     for counts in ([1], [0, 5], [1, 1], [1000, 1, 1], [1] * 280, [2**k for k in range(30)], [0] * 9):
         lengths = webp.code_lengths(np.array(counts))
         used = lengths[lengths > 0]
@@ -660,7 +664,9 @@ def test_webp_transforms_and_payloads(spark, docs):
     assert got[0].media_sha256 == got[1].media_sha256 and got[5].feature == got[6].feature
     assert got[15].media_bytes < 1000 and got[17].media_bytes < 0.6 * got[17].payload_bytes
     shown = webp.pixels(webp.store(docs.select("doc_id", "text")).withColumnRenamed("text", "file")).where("doc_id = 0").first()
-    green = np.frombuffer(shown.rgba, np.uint8).reshape(-1, 4)[:, 1].tobytes()
+    rgba = np.frombuffer(shown.rgba, np.uint8).reshape(-1, 4)
+    green, rgba_rest = rgba[:, 1].tobytes(), set(map(tuple, rgba[:, [0, 2, 3]].tolist()))
+    assert rgba_rest == {(0, 0, 255)}
     assert green.startswith(webp.padded(texts()[0].encode())) and shown.width * shown.height * 4 == len(shown.rgba)
 
 
