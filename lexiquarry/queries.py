@@ -131,7 +131,14 @@ def _query(name: str, sql: str):
 
 
 def _search_query(name: str, r: Request, catalog=_part_catalog, source: str = PARTS) -> None:
-    FOUND[name] = (lambda spark, sf_dir: search.search(catalog(spark, sf_dir), r), _page_sql(r, source))
+    def run(spark, sf_dir):
+        built = catalog(spark, sf_dir).cached()  # read several times; what doesn't fit in memory goes to disk
+        try:
+            return search.search(built, r)
+        finally:
+            built.release()
+
+    FOUND[name] = (run, _page_sql(r, source))
 
 
 # --- scalar functions ------------------------------------------------------------------------------------

@@ -32,11 +32,12 @@ def _hadoop(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def digest(df: DataFrame) -> str:
-    """Twelve hex digits that depend on the rows, not on their order or partitions: one pass, one row to the driver."""
+def digest(df: DataFrame) -> tuple[str, int]:
+    """Twelve hex digits that depend on the rows, not on their order or partitions, and the number of rows: one pass,
+    one row to the driver."""
     row = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
     total = df.agg(F.count("*"), F.sum(row.cast("decimal(38,0)")), F.bit_xor(row)).first()
-    return hashlib.sha256(json.dumps([sorted(df.dtypes), *map(str, total)]).encode()).hexdigest()[:12]
+    return hashlib.sha256(json.dumps([sorted(df.dtypes), *map(str, total)]).encode()).hexdigest()[:12], total[0]
 
 
 def put_json(spark: SparkSession, path: str, value: dict) -> None:
@@ -62,14 +63,14 @@ def _keep(spark: SparkSession, folder: str, name: str, write: Callable[[str], No
     """Write a table aside and move it to the name that its content gives; {path, rows, bytes}."""
     fs, aside = _hadoop(spark, f"{folder}/_aside-{uuid.uuid4().hex}")
     write(aside.toString())
-    made = spark.read.parquet(aside.toString())
-    path = f"{name}.{digest(made)}"
+    mark, rows = digest(spark.read.parquet(aside.toString()))
+    path = f"{name}.{mark}"
     _, final = _hadoop(spark, f"{folder}/{path}")
     if fs.exists(final):
         fs.delete(aside, True)
     elif not fs.rename(aside, final):
         raise OSError(f"{aside} can't be moved to {final}")
-    return {"path": path, "rows": spark.read.parquet(final.toString()).count(), "bytes": fs.getContentSummary(final).getLength()}
+    return {"path": path, "rows": rows, "bytes": fs.getContentSummary(final).getLength()}
 
 
 def save(
@@ -87,7 +88,6 @@ def save(
     after each table. Raises ValueError for ids that aren't positive or come twice.
     """
     spark, folder, shards = catalog.docs.sparkSession, folder.rstrip("/"), max(1, shards)
-    check_ids(catalog.docs)
     shard = gram_shard(gram_key(F.col("gram")), shards).alias("shard")
     docs = catalog.docs.repartitionByRange("id").sortWithinPartitions("id").write.option("compression", "zstd")
     if shard_docs > 0:
@@ -105,6 +105,8 @@ def save(
         tables[name] = _keep(spark, folder, name, writers[name].option("compression", "zstd").parquet)
         if tell:
             tell(name, k + 1, len(TABLES))
+        if name == "docs":  # before anything refers to them
+            check_ids(spark.read.parquet(f"{folder}/{tables[name]['path']}").select("id"))
     check_grams(spark.read.parquet(f"{folder}/{tables['grams']['path']}"))
     manifest = {
         "version": VERSION,
