@@ -2,6 +2,11 @@
 
 Quality rules drop documents that fail them; of each group of near-duplicates one document stays; secrets are
 replaced in the texts; documents are sampled to the raked mixture; the rest is encoded.
+
+Defined results: a null or empty text fails the quality rules, so later stages see it only when called by themselves;
+then it has no duplicates, no secrets, isn't sampled, and has no tokens. Rows without doc_id pass near_dedup, and are
+drawn by their text in mixing. Of rows that repeat a doc_id, near_dedup keeps one. Each stage gives an empty table for
+an empty one, and passes further columns on, whatever their names; the last returns its report instead.
 """
 
 from __future__ import annotations
