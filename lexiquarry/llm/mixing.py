@@ -1,11 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Documents fall into cells (source, language, topic). The cells' token totals are raked: in turn for each of
-the three, cells are scaled so that its marginal meets its target shares, and that several times over;
-marginal_error() says how far any marginal still is from its target. A document is then sampled with a probability in proportion to its cell's scale, at most 1: no document is taken
-twice. The factor is such that a share `keep` of all tokens is expected; sampled tokens then meet the raked
-shares, but for cells that have too little. The draw is a digest of the doc_id: it is the same in every run
-and on any partitioning.
+the three, cells are scaled so that its marginal meets its target shares, and that over and over until the
+weights stay as they are; marginal_error() says how far any marginal still is from its target. A document is then
+sampled with a probability in proportion to its cell's scale, at most 1: no document is taken twice. The factor
+is such that a share `keep` of all tokens is expected; sampled tokens then meet the raked shares, but for cells
+that have too little. The draw is a digest of the doc_id: it is the same in every run and on any partitioning.
 
 Everything is DataFrame expressions over one aggregate; only cells are shuffled repeatedly, documents never.
 
@@ -54,36 +54,74 @@ def with_cells(docs: DataFrame) -> DataFrame:
     return counted.select("row", "source", "lang", topic_of(text, F.col("tokens")).alias("topic"), "tokens", draw.alias("draw"))
 
 
-def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.8, rounds: int = 12) -> DataFrame:
-    """Cells (source, lang, topic, tokens) with `weight`, the raked token share.
+def _wanted(cells: DataFrame, targets: dict[str, dict[str, float]], temper: float) -> list[Column]:
+    """Every dimension's target share, from the column __total_<dimension> of a category's tokens.
+
+    The sums over categories that it takes come to the driver in one row for each dimension.
+    """
+    sums = {}
+    for d in DIMENSIONS:
+        given = F.col(d).isin(sorted(targets.get(d, {})))
+        tempered = F.pow(F.sum("tokens").cast("double"), F.lit(temper))
+        by = cells.groupBy(d).agg(tempered.alias("tempered")).withColumn("wanted", _given(d, targets))
+        sums[d] = by.agg(F.sum("wanted"), F.sum(F.when(~given, F.col("tempered")))).first()
+    out = []
+    for d in DIMENSIONS:
+        met, rest = (x or 0.0 for x in sums[d])
+        free = max(0.0, 1.0 - sum(targets[d].values())) if targets.get(d) else 1.0
+        norm = met + (free if rest else 0.0)
+        tempered = F.lit(free) * F.pow(F.col(f"__total_{d}").cast("double"), F.lit(temper)) / F.lit(rest or 1.0)
+        out.append((F.coalesce(_given(d, targets), tempered) / F.lit(norm or 1.0)).alias(f"__{d}"))
+    return out
+
+
+def _given(d: str, targets: dict[str, dict[str, float]]) -> Column:
+    """The share that `targets` names for the category, else null."""
+    shares = [F.when(F.col(d) == k, F.lit(float(v))) for k, v in sorted(targets.get(d, {}).items())]
+    return F.coalesce(*shares, F.lit(None).cast("double"))
+
+
+def _with_sums(cells: DataFrame, d: str, column: str, name: str, few: bool) -> DataFrame:
+    """Cells with the sum of a column over their category. Few cells are summed up where they are; of more, each
+    task adds up its own before the sums are shuffled, and Spark chooses the join by the size that they have."""
+    if few:
+        return cells.withColumn(name, F.sum(column).over(Window.partitionBy(d)))
+    return cells.join(cells.groupBy(d).agg(F.sum(column).alias(name)), d)
+
+
+def raked(
+    cells: DataFrame,
+    targets: dict[str, dict[str, float]] | None = None,
+    temper: float = 0.8,
+    rounds: int = 12,
+    error: float = 1e-12,
+    few: int = 50_000,
+) -> DataFrame:
+    """Cells (source, lang, topic, tokens; no nulls in the first three) with `weight`, the raked token share.
 
     Where `targets` names no share, a category's target is its observed share to the power `temper`, rescaled.
+    It ends after `rounds` rounds, or when a round has changed no weight by more than a share `error` of it.
+    Up to `few` cells, four rounds are one job; of more cells, each round is written as a table.
     """
-    targets = targets or {}
-    now = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
-    everything = Window.partitionBy(F.lit(0))
+    now = materialize(cells.where("tokens > 0"), "cells")
+    small = now.limit(few + 1).count() <= few
+    shares = _wanted(now, targets or {}, temper)
     for d in DIMENSIONS:
-        own = Window.partitionBy(d)
-        wanted = targets.get(d, {})
-        total = F.sum("tokens").over(own).cast("double")
-        # Each category's weight is spread over its cells by tokens, so that one sum over all cells rescales them.
-        tempered = F.pow(total, F.lit(temper))
-        if wanted:
-            given = F.coalesce(*[F.when(F.col(d) == k, F.lit(float(v))) for k, v in sorted(wanted.items())])
-            free = max(0.0, 1.0 - sum(wanted.values()))
-            now = now.withColumn("__given", given).withColumn("__temper", F.when(F.col("__given").isNull(), tempered))
-            now = now.withColumn("__share", F.col("tokens") / F.sum("tokens").over(own))
-            rest = F.sum(F.col("__temper") * F.col("__share")).over(everything)
-            now = now.withColumn("__raw", F.coalesce(F.col("__given"), F.lit(free) * F.col("__temper") / rest))
-        else:
-            now = now.withColumn("__share", F.col("tokens") / F.sum("tokens").over(own)).withColumn("__raw", tempered)
-        now = now.withColumn(f"__{d}", F.col("__raw") / F.sum(F.col("__raw") * F.col("__share")).over(everything))
-        now = now.drop("__given", "__temper", "__share", "__raw")
-    now = materialize(now, "cells")
-    for _ in range(rounds):
-        for d in DIMENSIONS:
-            now = now.withColumn("weight", F.col("weight") * F.col(f"__{d}") / F.sum("weight").over(Window.partitionBy(d)))
-    return materialize(now.select(*DIMENSIONS, "tokens", "weight", *[f"__{d}" for d in DIMENSIONS]), "raked")
+        now = _with_sums(now, d, "tokens", f"__total_{d}", small)
+    now = materialize(now.select(*DIMENSIONS, "tokens", F.col("tokens").cast("double").alias("weight"), *shares), "targets")
+    kept = now.columns
+    for done in range(0, rounds, 4 if small else 1):
+        for _ in range(min(4, rounds - done) if small else 1):
+            now = now.withColumn("__before", F.col("weight"))
+            for d in DIMENSIONS:
+                now = _with_sums(now, d, "weight", "__sum", small)
+                now = now.withColumn("weight", F.col("weight") * F.col(f"__{d}") / F.col("__sum")).drop("__sum")
+        now = materialize(now, "raked")
+        moved = now.where("weight > 0").agg(F.max(F.abs(F.col("__before") / F.col("weight") - 1))).first()[0]
+        now = now.select(*kept)
+        if (moved or 0.0) <= error:
+            break
+    return now
 
 
 def marginal_error(cells: DataFrame) -> float:
@@ -102,14 +140,21 @@ def factor(weights: DataFrame, keep: float) -> float:
         raise ValueError(f"keep is a share from 0 to 1, not {keep}")
     if keep in (0, 1):
         return 0.0 if keep == 0 else float("inf")
-    scale = F.col("weight") / F.col("tokens")
-    order = Window.orderBy(scale.desc(), *DIMENSIONS)
-    full = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    open_ = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    goal = keep * F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    each = weights.select(F.row_number().over(order).alias("rank"), scale.alias("scale"), ((goal - full) / open_).alias("f"))
-    found = each.where("f * scale <= 1").agg(F.min_by("f", "rank")).first()[0]
-    return float("inf") if found is None else found
+    goal = weights.agg(F.sum("tokens")).first()[0]
+    if goal is None:
+        return float("inf")
+    goal, f, taken = keep * goal, 0.0, -1
+    while True:
+        # Cells that f takes whole leave the rest of the goal to the others; f only grows, so it ends.
+        whole = F.lit(f) * (F.col("weight") / F.col("tokens")) > 1
+        n, full, open_ = weights.agg(
+            F.count(F.when(whole, 1)), F.sum(F.when(whole, F.col("tokens"))), F.sum(F.when(~whole, F.col("weight")))
+        ).first()
+        if n == taken:
+            return f
+        if not open_:
+            return float("inf")
+        f, taken = (goal - (full or 0)) / open_, n
 
 
 def with_probability(
@@ -121,7 +166,8 @@ def with_probability(
     broadcast_cells: int = 50_000,
     with_rows: bool = True,
 ) -> DataFrame:
-    """with_cells() and `probability`. Up to broadcast_cells cells go to every task; more are joined by shuffle.
+    """with_cells() and `probability`. Up to broadcast_cells cells are raked in one task at a time and go to every
+    task; more are raked and joined by shuffle.
 
     Without rows, only doc_id is kept of them, and texts are read once.
     """
@@ -129,7 +175,7 @@ def with_probability(
     if not with_rows:
         rows = materialize(rows.select(F.struct("row.doc_id").alias("row"), *DIMENSIONS, "tokens", "draw"), "placed")
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    weights = raked(cells, targets, temper, rounds)
+    weights = raked(cells, targets, temper, rounds, few=broadcast_cells)
     f = factor(weights, keep)
     scale = weights.select(*DIMENSIONS, F.least(F.lit(1.0), F.lit(f) * (F.col("weight") / F.col("tokens"))).alias("probability"))
     if weights.limit(broadcast_cells + 1).count() <= broadcast_cells:

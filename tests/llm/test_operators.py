@@ -771,6 +771,41 @@ def test_mixing(spark):
     assert last < 1e-6 and last <= first and mixing.marginal_error(mixing.raked(cells.limit(0))) == 0
     again = mixing.sample(table.repartition(7), targets=targets, keep=0.3)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in again.collect())
+    # Many cells take another way to the same result.
+    many = mixing.sample(table, targets=targets, keep=0.3, broadcast_cells=0)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in many.collect())
+
+
+def test_raking_against_brute_force(spark):
+    rows = [(f"s{a}", f"l{b}", f"t{c}", 1 + (a * 7 + b * 5 + c * 3) ** 2 % 97) for a in range(40) for b in range(5) for c in range(3) if (a + b) % 4]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    targets = {"lang": {"l0": 0.3, "l1": 0.3}}
+    weight = {r[:3]: float(r[3]) for r in rows}
+    share = []
+    for i, d in enumerate(mixing.DIMENSIONS):
+        total = {}
+        for r in rows:
+            total[r[i]] = total.get(r[i], 0) + r[3]
+        given = targets.get(d, {})
+        rest = sum(v**0.8 for k, v in total.items() if k not in given)
+        free = 1 - sum(given.values())
+        share.append({k: given.get(k, free * v**0.8 / rest) for k, v in total.items()})
+    for _ in range(6):
+        for i in range(3):
+            total = {}
+            for k, w in weight.items():
+                total[k[i]] = total.get(k[i], 0) + w
+            weight = {k: w * share[i][k[i]] / total[k[i]] for k, w in weight.items()}
+    for few in (0, 50_000):
+        raked = mixing.raked(cells, targets, rounds=6, few=few)
+        assert mixing.marginal_error(raked) < 1e-3
+        got = {r[:3]: r.weight for r in raked.select(*mixing.DIMENSIONS, "weight").collect()}
+        assert got.keys() == weight.keys() and all(abs(got[k] - w) < 1e-9 for k, w in weight.items())
+    # The factor is where the tokens taken make up the share asked for.
+    scale = {r[:3]: weight[r[:3]] / r[3] for r in rows}
+    for keep in (0.05, 0.5, 0.9, 0.99):
+        f = mixing.factor(raked, keep)
+        assert abs(sum(r[3] * min(1, f * scale[r[:3]]) for r in rows) / sum(r[3] for r in rows) - keep) < 1e-9
 
 
 def test_chat(spark):
