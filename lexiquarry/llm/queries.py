@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, html_templates, media_webp, mixing, near_dedup, quality, secrets, suffix_dedup, token_store
+from ._store import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +52,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.token_index(token_store.write_tokens(_table(spark, sf_dir, "documents")))
+    return token_store.token_index(token_store.write_tokens(_table(spark, sf_dir, "documents"), new_path(spark, "tokens")))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

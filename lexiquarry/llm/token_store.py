@@ -4,13 +4,15 @@ A file holds the ids of consecutive documents. The ids are cut into blocks of a
 transposed into planes - byte k, or bit k, of every id side by side - and each plane is compressed by
 zstandard; planes of zeros are dropped. Layout, all integers little-endian:
 
-    magic "LQTP", u8 version 1, u8 plane width (1 or 8 bits), u16 zero, u32 ids in a full block
+    magic "LQTP", u8 version 2, u8 plane width (1 or 8 bits), u16 zero, u32 ids in a full block
+    u32 part, u32 seq: files in ascending (part, seq) hold documents in order
     planes of block 0, block 1, ...
     document table: zstd of i64 ids' nulls bitmap byte, i64 doc_id, u32 count for each document
     chunk index: for each block u64 offset, u32 ids, u8 planes, u32 length of each plane
-    u64 offset of document table, u64 offset of chunk index, u32 blocks, u32 documents, magic
+    u64 offset of document table, u64 offset of chunk index, u32 blocks, u32 documents, magic, line end
 
-Files are rows of a table (part, seq, file), written in the shared folder; export() copies them out.
+Executors write the files, one for each row, to any folder that Spark can reach: Spark's text writer puts out a
+value's bytes as they are and a line end, which is the file's last byte. They are read back as binary files.
 
 Defined results: a null or empty text is a document with no ids but the end id. Documents are in ascending
 order of doc_id, nulls first; rows with the same doc_id are ordered by their text. An empty table gives no
@@ -24,7 +26,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import materialize, partitions
@@ -55,13 +57,15 @@ def from_planes(planes: list[bytes], n: int, bits: int) -> np.ndarray:
     return ids
 
 
-def write_file(docs: list[tuple[int | None, bytes]], bits: int = 8, block: int = 65536, level: int = 3) -> bytes:
+def write_file(
+    docs: list[tuple[int | None, bytes]], bits: int = 8, block: int = 65536, level: int = 3, part: int = 0, seq: int = 0
+) -> bytes:
     """docs: (doc_id, ids as little-endian unsigned 32-bit integers) in order."""
     import zstandard
 
     packer = zstandard.ZstdCompressor(level=level)
     ids = np.frombuffer(b"".join(d[1] for d in docs), "<u4")
-    out, at, index = [MAGIC, struct.pack("<BBHI", 1, bits, 0, block)], 12, []
+    out, at, index = [MAGIC, struct.pack("<BBHIII", 2, bits, 0, block, part, seq)], 20, []
     for lo in range(0, len(ids), block):
         part = ids[lo : lo + block]
         planes = [packer.compress(p) for p in to_planes(part, bits)]
@@ -72,7 +76,7 @@ def write_file(docs: list[tuple[int | None, bytes]], bits: int = 8, block: int =
     table += np.array([d[0] or 0 for d in docs], "<i8").tobytes()
     table += np.array([len(d[1]) // 4 for d in docs], "<u4").tobytes()
     table = packer.compress(table)
-    tail = struct.pack("<QQII", at, at + len(table), len(index), len(docs)) + MAGIC
+    tail = struct.pack("<QQII", at, at + len(table), len(index), len(docs)) + MAGIC + b"\n"
     return b"".join([*out, table, *index, tail])
 
 
@@ -81,10 +85,10 @@ def read_file(file: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     import zstandard
 
     opener = zstandard.ZstdDecompressor()
-    if file[:4] != MAGIC or file[-4:] != MAGIC or file[4] != 1:
+    if file[:4] != MAGIC or file[-5:] != MAGIC + b"\n" or file[4] != 2:
         raise ValueError("not a token file")
     bits = file[5]
-    at, index, blocks, n = struct.unpack_from("<QQII", file, len(file) - 28)
+    at, index, blocks, n = struct.unpack_from("<QQII", file, len(file) - 29)
     table = opener.decompress(file[at:index])
     none = np.frombuffer(table, np.uint8, n)
     doc_ids = np.frombuffer(table, "<i8", n, n)
@@ -104,11 +108,17 @@ def read_file(file: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 def write_tokens(
-    docs: DataFrame, vocabulary: str | None = None, end_id: int | None = 2, bits: int = 8, block: int = 65536, file_ids: int = 2**20
+    docs: DataFrame,
+    folder: str,
+    vocabulary: str | None = None,
+    end_id: int | None = 2,
+    bits: int = 8,
+    block: int = 65536,
+    file_ids: int = 2**20,
 ) -> DataFrame:
-    """Encode `text` of docs, append end_id to each, and write files of about file_ids ids: (part, seq, file).
+    """Encode `text` of docs, append end_id to each, and write files of about file_ids ids to a new folder.
 
-    (part, seq) ascends with doc_id. A document longer than file_ids has a file to itself.
+    Returns token_files(folder). (part, seq) ascends with doc_id. A file ends with the document that fills it.
     """
     vocabulary = vocabulary or default_vocabulary()
     end = b"" if end_id is None else np.uint32(end_id).tobytes()
@@ -123,9 +133,8 @@ def write_tokens(
 
         def flush():
             nonlocal seq, held, size
-            row = pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": pa.array([write_file(held, bits, block)], pa.binary())}
-            )
+            file = write_file(held, bits, block, part=part, seq=seq)
+            row = pa.RecordBatch.from_pydict({"file": pa.array([file[:-1]], pa.binary())})
             seq, held, size = seq + 1, [], 0
             return row
 
@@ -144,7 +153,15 @@ def write_tokens(
     # `same` parts rows with one doc_id, so that many of them don't meet in one task
     ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("same")).repartitionByRange(n, "doc_id", "same")
     ordered = ordered.sortWithinPartitions("doc_id", "same").select("doc_id", "text")
-    return materialize(ordered.mapInArrow(run, "part int, seq int, file binary"), "tokens")
+    files = ordered.mapInArrow(run, "file binary").select(F.col("file").cast("string"))
+    files.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").option("compression", "none").text(folder)
+    return token_files(docs.sparkSession, folder)
+
+
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, file) of the token files in a folder."""
+    files = spark.read.format("binaryFile").load(folder)
+    return files.where("length > 0").select("path", F.col("content").alias("file"))
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
@@ -154,7 +171,8 @@ def read_tokens(files: DataFrame) -> DataFrame:
         import pandas as pd
 
         for pdf in batches:
-            for part, seq, file in zip(pdf["part"], pdf["seq"], pdf["file"]):
+            for file in pdf["file"]:
+                part, seq = struct.unpack_from("<II", file, 12)
                 doc_ids, counts, ids = read_file(file)
                 raw, ends = ids.tobytes(), 4 * np.cumsum(counts, dtype=np.int64)
                 starts = ends - 4 * counts.astype(np.int64)
@@ -169,7 +187,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                     }
                 )
 
-    return files.mapInPandas(run, "part int, seq int, doc_id long, n_tokens long, ids_crc32 long, before long")
+    return files.select("file").mapInPandas(run, "part int, seq int, doc_id long, n_tokens long, ids_crc32 long, before long")
 
 
 def token_index(files: DataFrame) -> DataFrame:
@@ -188,16 +206,3 @@ def token_index(files: DataFrame) -> DataFrame:
     return docs.join(offsets, ["part", "seq"]).select(
         "doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
     )
-
-
-def export(files: DataFrame, folder: str) -> int:
-    """Copy the files one by one into a folder of the driver's; returns how many."""
-    import os
-
-    os.makedirs(folder, exist_ok=True)
-    n = 0
-    for row in files.orderBy("part", "seq").toLocalIterator():
-        with open(f"{folder}/tokens-{row['part']:06d}-{row['seq']:06d}.lqtp", "wb") as f:
-            f.write(row["file"])
-        n += 1
-    return n
