@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -31,6 +31,8 @@ WIDE_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  ⁠　﻿]")
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: What a memo's entry takes beside its bytes, about.
 _EACH = 200
+#: Stands for ids still to come; those take four bytes each.
+_OPEN = b"?"
 #: Bytes of anything but ASCII without the separators 28 to 31, and characters from U+00C0 to U+023F.
 _UNCOMMON = re.compile(rb"[\x1c-\x1f\xc0-\xc2\xc9-\xff]").search
 
@@ -49,6 +51,17 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Memo(dict):
+    """Ids of fragments. Asked for one that isn't in it, it notes that and gives _OPEN."""
+
+    def __init__(self):
+        self.asked: list[bytes] = []
+
+    def __missing__(self, fragment: bytes) -> bytes:
+        self.asked.append(fragment)
+        return _OPEN
+
+
 class ForcedBoundaryBPE:
     """encode() and decode() of one byte-level vocabulary file; one instance per worker."""
 
@@ -90,7 +103,7 @@ class ForcedBoundaryBPE:
         self._pieces = regex.compile(PIECES)
         self._forced = self.forced.ravel()
         #: Ids of fragments, and of the small fragments inside them. `memo` bounds the bytes of each, about.
-        self._memo: dict[bytes, bytes] = {}
+        self._memo = _Memo()
         self._small: dict[bytes, bytes] = {}
         self._held, self._held_small, self._most = 0, 0, memo
 
@@ -104,7 +117,7 @@ class ForcedBoundaryBPE:
         import tiktoken
 
         ranks = {self.bytes_of[i]: i for t, i in spec["model"]["vocab"].items() if t not in added}
-        return tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        return tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     @classmethod
     def load(cls, path: str, memo: int = 128 << 20) -> ForcedBoundaryBPE:
@@ -128,14 +141,9 @@ class ForcedBoundaryBPE:
         at = [0, *(np.flatnonzero(cut) + 1).tolist(), len(raw)]
         return [raw[i:j] for i, j in zip(at, at[1:])]
 
-    def _learn(self, fragments: Iterable[bytes]) -> None:
-        """Have the memo hold the ids of all these fragments, as little-endian unsigned 32-bit integers."""
+    def _learn(self, missing: list[bytes]) -> None:
+        """Put the ids of these fragments into the memo, as little-endian unsigned 32-bit integers."""
         memo = self._memo
-        distinct = set(fragments)
-        if self._held > self._most:
-            memo.clear()
-            self._held = 0
-        missing = list(distinct.difference(memo))
         self._held += sum(map(len, missing)) + _EACH * len(missing)
         rest = missing
         if self._merge:
@@ -173,10 +181,12 @@ class ForcedBoundaryBPE:
         if self._held_small > self._most:
             small.clear()
             self._held_small = 0
-        new = set(parts).difference(small)
+        new = list(set(parts).difference(small))
         self._held_small += sum(map(len, new)) + _EACH * len(new)
-        for p in new:
-            small[p] = np.array(self._merge(p), "<u4").tobytes()
+        merged = list(map(self._merge, new))
+        ids = np.fromiter(chain.from_iterable(merged), "<u4").tobytes()
+        upto = (4 * np.cumsum(np.fromiter(map(len, merged), np.int64, len(merged)))).tolist()
+        small.update(zip(new, [ids[a:z] for a, z in zip([0, *upto], upto)]))
         found = list(map(small.__getitem__, parts))
         ids = b"".join(found)
         upto = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
@@ -189,21 +199,32 @@ class ForcedBoundaryBPE:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """encode() of each; new fragments of all of them are encoded together."""
-        cut, mixed = [], []
-        for k, text in enumerate(texts):
-            if not text:
-                cut.append([])
-            elif self._split and self._split.search(text):
-                mixed.append(k)
-                cut.append([f for i, p in enumerate(self._split.split(text)) if i % 2 == 0 for f in self.fragments(p)])
+        memo, out, todo = self._memo, [], []
+        if self._held > self._most:
+            memo.clear()
+            self._held = 0
+        memo.asked = asked = []
+        known = memo.__getitem__
+        for text in texts:
+            before = len(asked)
+            if text and self._split and self._split.search(text):
+                found = []
+                for i, p in enumerate(self._split.split(text)):
+                    found += [self._added[p]] if i % 2 else map(known, self.fragments(p))
+            else:
+                found = list(map(known, self.fragments(text or "")))
+            if len(asked) > before:
+                todo.append((len(out), found, before, len(asked)))
+                out.append(b"")
             else:
-                cut.append(self.fragments(text))
-        self._learn(chain.from_iterable(cut))
-        known = self._memo.__getitem__
-        out = [b"".join(map(known, c)) for c in cut]
-        for k in mixed:
-            parts = enumerate(self._split.split(texts[k]))
-            out[k] = b"".join(self._added[p] if i % 2 else b"".join(map(known, self.fragments(p))) for i, p in parts)
+                out.append(b"".join(found))
+        self._learn(list(set(asked)))
+        for k, found, a, z in todo:
+            at = -1
+            for fragment in asked[a:z]:
+                at = found.index(_OPEN, at + 1)
+                found[at] = memo[fragment]
+            out[k] = b"".join(found)
         return out
 
     def decode(self, ids: bytes) -> str:

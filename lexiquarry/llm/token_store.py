@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._store import materialize, partitions
-from .bpe import ForcedBoundaryBPE, default_vocabulary, one_thread
+from .bpe import ForcedBoundaryBPE, default_vocabulary, one_thread, slices
 
 MAGIC = b"LQTP"
 
@@ -139,8 +139,8 @@ def write_tokens(
             return row
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                rows = batch.slice(lo, 256).to_pydict()
+            for piece in slices(batch, batch.schema.get_field_index("text"), 256, 4 << 20):
+                rows = piece.to_pydict()
                 for doc_id, ids in zip(rows["doc_id"], bpe.encode_all(rows["text"])):
                     held.append((doc_id, ids + end))
                     size += len(ids) // 4 + 1
