@@ -33,6 +33,8 @@ from ._store import materialize, partitions
 from .bpe import ForcedBoundaryBPE, default_vocabulary, one_thread, slices
 
 MAGIC = b"LQTP"
+#: Bytes that each of the encoder's memos may take in a worker, about.
+MEMO = 192 << 20
 
 
 def to_planes(ids: np.ndarray, bits: int) -> list[bytes]:
@@ -128,7 +130,7 @@ def write_tokens(
         from pyspark import TaskContext
 
         one_thread()
-        bpe = ForcedBoundaryBPE.load(vocabulary)
+        bpe = ForcedBoundaryBPE.load(vocabulary, MEMO)
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush():
@@ -139,7 +141,7 @@ def write_tokens(
             return row
 
         for batch in batches:
-            for piece in slices(batch, batch.schema.get_field_index("text"), 256, 4 << 20):
+            for piece in slices(batch, batch.schema.get_field_index("text")):
                 rows = piece.to_pydict()
                 for doc_id, ids in zip(rows["doc_id"], bpe.encode_all(rows["text"])):
                     held.append((doc_id, ids + end))
@@ -168,26 +170,26 @@ def read_tokens(files: DataFrame) -> DataFrame:
     """(part, seq, pos, doc_id, n_tokens, ids_crc32, before) of every document: before counts ids in its file."""
 
     def run(batches: Iterator):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            for file in pdf["file"]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
                 part, seq = struct.unpack_from("<II", file, 12)
                 doc_ids, counts, ids = read_file(file)
                 raw, ends = ids.tobytes(), 4 * np.cumsum(counts, dtype=np.int64)
                 starts = ends - 4 * counts.astype(np.int64)
-                yield pd.DataFrame(
-                    {
-                        "part": part,
-                        "seq": seq,
-                        "doc_id": pd.array(doc_ids, "Int64"),
-                        "n_tokens": counts.astype(np.int64),
-                        "ids_crc32": [zlib.crc32(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())],
-                        "before": starts // 4,
-                    }
-                )
-
-    return files.select("file").mapInPandas(run, "part int, seq int, doc_id long, n_tokens long, ids_crc32 long, before long")
+                n = len(doc_ids)
+                columns = {
+                    "part": pa.array(np.full(n, part, np.int32)),
+                    "seq": pa.array(np.full(n, seq, np.int32)),
+                    "doc_id": pa.array(doc_ids, pa.int64()),
+                    "n_tokens": pa.array(counts.astype(np.int64)),
+                    "ids_crc32": pa.array([zlib.crc32(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], pa.int64()),
+                    "before": pa.array(starts // 4),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return files.select("file").mapInArrow(run, "part int, seq int, doc_id long, n_tokens long, ids_crc32 long, before long")
 
 
 def token_index(files: DataFrame) -> DataFrame:
