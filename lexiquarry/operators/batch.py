@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.request import MODES, SORTS, parse
+from ..sources.shared import materialize
 from .index import Catalog
 from .search import BOOSTS, FLAGS
 
@@ -50,57 +51,70 @@ def _passes() -> Column:
     return found
 
 
+#: Up to so many rows of requests' grams are sent to every task; of more, both sides are dealt out by gram.
+BESIDE = 50_000
+
+
 def search_many(catalog: Catalog, requests: DataFrame, together: int = 10_000) -> DataFrame:
     """(request_id, rank, id, score, total, has_more): the page of each row of requests, as search() gives it.
 
     requests: request_id, q and, where wanted, the other columns of a request. Postings are joined by gram, counted by
     request, term and document, and ranked within each request, of which each task passes on a page at most. Requests
     without a term to include run over all documents, side by side in one scan; there may be `together` of them.
+
+    Requests as read, their known grams and all matches (request_id, id, score) are written to the shared folder, each
+    once; the result reads them there. Requests, their grams and the dictionary of authors may be broadcast. Documents,
+    postings and matches are not, whatever size Spark expects of them; only names of a document's authors may be, if
+    they turn out at run time to be below Spark's threshold.
     """
-    asked = normalised(requests).withColumn("terms", _terms("q"))
-    settings = asked.select("request_id", "tags", "exclude_tags", *[f"wanted_{mode}" for mode, _ in FLAGS], "sort", "skip", "size", "filtered")
+    asked = materialize(normalised(requests).withColumn("terms", _terms("q")).drop("q"), "requests")
     terms = asked.select("request_id", F.explode("terms").alias("t")).select("request_id", "t.*")
     grams = terms.select("request_id", "exclude", "k", "n", F.explode("grams").alias("gram"))
-    known = grams.join(catalog.grams.select("gram"), "gram")
-    found = known.groupBy("request_id", "exclude", "k").agg(F.count("*").cast("int").alias("f"))
-    counted = known.join(catalog.postings.select("gram", "id"), "gram").groupBy("request_id", "exclude", "k", "n", "id").agg(F.count("*").alias("hit"))
+    some = grams.limit(BESIDE + 1).count() <= BESIDE
+    # Left to itself, Spark may broadcast the large side: a small file can have many rows.
+    beside = lambda large, few: large.join(F.broadcast(few), "gram") if some else large.hint("merge").join(few, "gram")
+    known = materialize(beside(catalog.grams.select("gram"), grams), "request-grams")
+    found = known.groupBy("request_id", "exclude", "k", "n").agg(F.count("*").cast("int").alias("f"))
+    counted = beside(catalog.postings.select("gram", "id"), known).groupBy("request_id", "exclude", "k", "id").agg(F.count("*").alias("hit"))
     least = F.least(F.greatest(F.lit(1), F.floor((3 * F.col("n") + 4) / 5)), F.col("f"))
-    hit = counted.join(found, ["request_id", "exclude", "k"]).where(F.col("hit") >= least)
-    gone = hit.where("exclude").select("request_id", "id").distinct()
-    per = hit.where("not exclude").groupBy("request_id", "id").agg(
-        F.array_sort(F.collect_list(F.struct("k", (F.col("hit") / F.col("n")).alias("part")))).alias("parts")
-    )
-    wanted = terms.where("not exclude").groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("k", "term"))).alias("terms"))
+    hit = counted.join(F.broadcast(found) if some else found, ["request_id", "exclude", "k"]).where(F.col("hit") >= least)
+    matched = hit.select("request_id", "id", "exclude", F.when(~F.col("exclude"), F.struct("k", (F.col("hit") / F.col("n")).alias("part"))).alias("part"))
+    include = F.transform(F.filter("terms", lambda t: ~t["exclude"]), lambda t: t["term"])
     facts = ["id", "tag_ids", *[c for _, c in FLAGS]]
-    rows = per.join(catalog.docs.select(*facts, *[c for c, _ in BOOSTS]), "id").join(wanted, "request_id").join(settings, "request_id").where(_passes())
+    # No term to include: all documents that pass, if there is a term to exclude or a filter.
+    rest = asked.where((F.size(include) == 0) & ((F.size("terms") > 0) | F.col("filtered")))
+    few = rest.limit(together + 1).count()
+    if few > together:
+        raise ValueError(f"more than {together} requests without a term to include; deal them out over several calls")
+    if few:
+        wanted = rest.select("request_id", "tags", "exclude_tags", *[f"wanted_{mode}" for mode, _ in FLAGS])
+        scanned = catalog.docs.select(*facts).join(F.broadcast(wanted), how="cross").where(_passes())
+        no_part = F.lit(None).cast(matched.schema["part"].dataType).alias("part")
+        matched = matched.unionByName(scanned.select("request_id", "id", F.lit(False).alias("exclude"), no_part))
+    # A document goes if a term to exclude has it; what only such a term has was not asked for.
+    per = matched.repartition("id").groupBy("request_id", "id").agg(F.bool_or("exclude").alias("gone"), F.array_sort(F.collect_list("part")).alias("parts"))
+    settings = asked.select("request_id", "tags", "exclude_tags", *[f"wanted_{mode}" for mode, _ in FLAGS], "sort", include.alias("terms"))
+    docs = catalog.docs.select(*facts, *[c for c, _ in BOOSTS]).hint("merge")
+    rows = per.where("not gone").drop("gone").join(docs, "id").join(settings, "request_id").where(_passes())
     folded = F.aggregate("parts", F.lit(0.0).cast("float"), lambda a, x: (a.cast("double") + x["part"]).cast("float")).cast("double")
     # One term alone is rounded only in the end; several without relevance aren't scored.
-    base = F.when(F.size("terms") > 1, folded).otherwise(F.col("parts")[0]["part"])
+    base = F.when(F.size("terms") > 1, folded).otherwise(F.get("parts", F.lit(0))["part"])
 
     def add(a, x):
         for column, boost in BOOSTS:
-            a = a + F.when(F.contains(F.col(column), x["term"]), F.lit(boost)).otherwise(F.lit(0.0))
+            a = a + F.when(F.contains(F.col(column), x), F.lit(boost)).otherwise(F.lit(0.0))
         return a
 
     score = F.aggregate("terms", base, add).cast("float").cast("double")
     plain = (F.size("terms") > 1) & (F.col("sort") != "relevance")
-    out = ["request_id", "id", "score", "sort", "skip", "size"]
-    ranked = rows.withColumn("score", F.when(plain, 1.0).otherwise(score)).select(*out)
-    # No term to include: all documents that pass, if there is a term to exclude or a filter.
-    rest = asked.where(~F.exists("terms", lambda t: ~t["exclude"]) & ((F.size("terms") > 0) | F.col("filtered"))).drop("terms", "q")
-    few = rest.limit(together + 1).collect()
-    if len(few) > together:
-        raise ValueError(f"more than {together} requests without a term to include; deal them out over several calls")
-    if few:
-        beside = F.broadcast(requests.sparkSession.createDataFrame(few, rest.schema).withColumn("one", F.lit(1)))
-        scanned = catalog.docs.select(*facts, F.lit(1).alias("one")).join(beside, "one").where(_passes())
-        ranked = ranked.unionByName(scanned.withColumn("score", F.lit(0.0)).select(*out))
-    ranked = ranked.join(gone, ["request_id", "id"], "left_anti")
-    last = settings.agg(F.max(F.col("skip") + F.col("size"))).first()[0] or 0
+    scored = F.when(F.size("terms") == 0, 0.0).when(plain, 1.0).otherwise(score)
+    ranked = materialize(rows.select("request_id", "id", scored.alias("score")), "matches")
+    total = ranked.groupBy("request_id").agg(F.count("*").alias("total"))
+    last = asked.agg(F.max(F.col("skip") + F.col("size"))).first()[0] or 0
     first = F.when(F.col("sort") == "relevance", F.col("score")).otherwise(0.0)
     then = F.when(F.col("sort") == "id_asc", F.col("id")).otherwise(-F.col("id"))
     place = F.row_number().over(Window.partitionBy("request_id").orderBy(first.desc(), then.asc()))
-    total = ranked.groupBy("request_id").agg(F.count("*").alias("total"))
-    cut = ranked.withColumn("rank", place.cast("long")).where(F.col("rank") <= last)
+    # Every match has its request; a left join keeps Spark from broadcasting the matches.
+    cut = ranked.join(asked.select("request_id", "sort", "skip", "size"), "request_id", "left").withColumn("rank", place.cast("long")).where(F.col("rank") <= last)
     cut = cut.where((F.col("rank") > F.col("skip")) & (F.col("rank") <= F.col("skip") + F.col("size"))).join(total, "request_id")
     return cut.select("request_id", "rank", "id", "score", "total", (F.col("skip") + F.col("size") < F.col("total")).alias("has_more"))

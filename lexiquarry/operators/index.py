@@ -66,11 +66,13 @@ def author_dictionary(entries: DataFrame) -> DataFrame:
 
 def documents(entries: DataFrame, authors: DataFrame, ascii_only: bool = False) -> DataFrame:
     """One row per usable entry, with the normalised texts that boosts look at."""
+    # A left join, so that only the dictionary may be broadcast, never the documents' side, however small its files are.
+    known = authors.select("author_id", "name", F.lit(True).alias("known"))
     names = (
         doc_authors(entries)
-        .join(authors, "author_id")
+        .join(known, "author_id", "left")
         .groupBy("id")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("a"))
+        .agg(F.array_sort(F.collect_list(F.when(F.col("known"), F.struct("pos", "name")))).alias("a"))
         .select("id", F.transform("a", lambda x: x["name"]).alias("author_names"))
     )
     cover = split_cover(F.col("cover"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,3 +18,10 @@ def shared_dir(spark: SparkSession) -> str:
         where = tempfile.mkdtemp(prefix="lexiquarry-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder, and read from there."""
+    path = f"{shared_dir(df.sparkSession)}/lexiquarry/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
