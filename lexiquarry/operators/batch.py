@@ -73,11 +73,11 @@ def search_many(catalog: Catalog, requests: DataFrame, together: int = 10_000) -
     some = grams.limit(BESIDE + 1).count() <= BESIDE
     # Left to itself, Spark may broadcast the large side: a small file can have many rows.
     beside = lambda large, few: large.join(F.broadcast(few), "gram") if some else large.hint("merge").join(few, "gram")
-    known = materialize(beside(catalog.grams.select("gram"), grams), "request-grams")
-    found = known.groupBy("request_id", "exclude", "k", "n").agg(F.count("*").cast("int").alias("f"))
-    counted = beside(catalog.postings.select("gram", "id"), known).groupBy("request_id", "exclude", "k", "id").agg(F.count("*").alias("hit"))
+    found = F.count("*").over(Window.partitionBy("request_id", "exclude", "k")).cast("int")
+    known = materialize(beside(catalog.grams.select("gram"), grams).withColumn("f", found), "request-grams")
+    counted = beside(catalog.postings.select("gram", "id"), known).groupBy("request_id", "exclude", "k", "n", "f", "id").agg(F.count("*").alias("hit"))
     least = F.least(F.greatest(F.lit(1), F.floor((3 * F.col("n") + 4) / 5)), F.col("f"))
-    hit = counted.join(F.broadcast(found) if some else found, ["request_id", "exclude", "k"]).where(F.col("hit") >= least)
+    hit = counted.where(F.col("hit") >= least)
     matched = hit.select("request_id", "id", "exclude", F.when(~F.col("exclude"), F.struct("k", (F.col("hit") / F.col("n")).alias("part"))).alias("part"))
     include = F.transform(F.filter("terms", lambda t: ~t["exclude"]), lambda t: t["term"])
     facts = ["id", "tag_ids", *[c for _, c in FLAGS]]

@@ -160,17 +160,18 @@ def broadcast_rows(spark, run) -> list[int]:
 def test_batch_broadcasts_no_table_that_grows(spark, tmp_path, monkeypatch, beside):
     """Small files of many rows: Spark, left to itself, takes documents and postings for small and broadcasts them."""
     monkeypatch.setattr(batch, "BESIDE", beside)
-    rows = [(k, k + 1, f"ring {k % 7} bolt", "", ["steel"], [(k % 5, f"brand {k % 5}")], [(k % 3, "t")], k % 2 == 0, False, False, False) for k in range(3000)]
+    rows = [(k, k + 1, f"ring {k % 7} bolt", "", ["steel"], [(k % 5, f"brand {k % 5} " * 20)], [(k % 3, "t")], k % 2 == 0, False, False, False) for k in range(3000)]
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "entries"))
+    assert sum(p.stat().st_size for p in (tmp_path / "entries").glob("*.parquet")) < 100 * 1024
     catalog = index.build(spark.read.parquet(str(tmp_path / "entries")), ascii_only=True)
     requests = [Request(q="ring brand3"), Request(q="bolt -brand2"), Request(q="-brand4"), Request(tags=(2,))]
     asked = spark.createDataFrame([(k, q.q, list(q.tags)) for k, q in enumerate(requests)], "request_id long, q string, tags array<int>")
-    found, measured = [], "spark.sql.adaptive.autoBroadcastJoinThreshold"
-    spark.conf.set(measured, "-1")  # only by what Spark expects, not by sizes measured meanwhile
+    found, threshold_ = [], "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold_, "100k")  # above the file's size, below that of the rows in memory
     try:
         sizes = broadcast_rows(spark, lambda: found.extend(batch.search_many(catalog, asked).orderBy("request_id", "rank").collect()))
     finally:
-        spark.conf.unset(measured)
+        spark.conf.unset(threshold_)
     assert sizes and max(sizes) < 300, sizes
     for k, q in enumerate(requests):
         want = model(rows, q)
